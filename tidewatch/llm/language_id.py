@@ -26,27 +26,32 @@ _SALTS = mix64(np.arange(101, 101 + max(ORDERS), dtype=np.uint64))
 def gram_buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of all texts, one after the other, and the n + 1 offsets of the texts.
 
-    Texts are lower-cased, each run of other characters than letters counts as one separator, and a separator stands at both ends."""
-    lowered = [(t or "").lower() for t in texts]
-    codes = np.frombuffer(" ".join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(t) + 1 for t in lowered])
-    owner_starts = np.r_[0, ends]
+    Texts are lower-cased, each run of other characters than letters counts as one separator, and separators stand at both
+    ends, so that no n-gram reaches into the next text."""
+    closing = " " * (max(ORDERS) - 1)
+    lowered = [f" {(t or '').lower()}{closing}" for t in texts]
+    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) for t in lowered])
+    firsts = np.r_[0, ends][:-1]
     letter = is_letter(codes)
     keep = letter.copy()
-    keep[0] = True
     keep[1:] |= letter[:-1]  # the first character after a letter is the separator
-    keep[owner_starts] = True
+    keep[firsts] = True
+    shut = np.zeros(len(codes), bool)
+    for j in range(1, max(ORDERS)):
+        shut[ends - j] = True
+    keep |= shut
     codes = np.where(letter, codes, 32)[keep].astype(np.uint64)
-    starts = np.r_[0, np.cumsum(keep)][owner_starts]
-    n = len(codes) - 1  # the last separator only closes the last text
-    grams = np.empty((n, len(ORDERS)), np.int64)
-    state = np.zeros(len(codes) + max(ORDERS), np.uint64)
+    counts = np.r_[0, np.cumsum(keep & ~shut)]
+    starts = counts[np.r_[firsts, len(letter)]]
+    places = np.flatnonzero(~shut[keep])
     padded = np.r_[codes, np.full(max(ORDERS), 32, np.uint64)]
-    state = np.zeros(n, np.uint64)
+    grams = np.empty((len(places), len(ORDERS)), np.int64)
+    state = np.zeros(len(codes), np.uint64)
     for j in range(max(ORDERS)):
-        state = mix64(state + padded[j : j + n] * _SALTS[j] + np.uint64(j + 1))
+        state = mix64(state + padded[j : j + len(codes)] * _SALTS[j] + np.uint64(j + 1))
         if j + 1 in ORDERS:
-            grams[:, ORDERS.index(j + 1)] = (state >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+            grams[:, ORDERS.index(j + 1)] = (state >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)[places]
     return grams.ravel(), starts * len(ORDERS)
 
 
