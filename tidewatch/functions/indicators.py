@@ -101,7 +101,7 @@ def processes(text: Column) -> Column:
 def file_paths(text: Column) -> Column:
     """Paths of 4 to 4096 characters that hold no web or narrative word and no character illegal in both worlds."""
     bad = "|".join(w.replace("[", r"\[").replace("]", r"\]").replace(".", r"\.") for w in P.PATH_STOP_WORDS)
-    found = F.transform(distinct_matches(text, *P.FILE_PATHS), F.trim)
+    found = F.transform(distinct_matches(text, *P.FILE_PATHS), lambda x: F.trim(x))
     return F.array_distinct(F.filter(found, lambda p: F.length(p).between(4, 4096) & ~F.lower(p).rlike(bad) & ~p.rlike(r"[\x00]")))
 
 
@@ -114,12 +114,12 @@ def registry_keys(text: Column) -> Column:
         rooted = k.rlike(rf"(?i)^(?:{roots})\\") & ~k.rlike(r"(?i)\\\\|\\$|\s+\\|\\\s+|\s+(create|add|delete|query|start|stop)\s+|(sc|net|reg)\s+")
         return F.length(k).between(5, 1024) & ~k.rlike(stop) & k.rlike(r"^[A-Za-z0-9\\._\-{}\s:()]+$") & (k.rlike(r"(?i)^\\registry\\machine\\") | rooted)
 
-    return F.filter(F.transform(distinct_matches(text, *P.REGISTRY), F.trim), good)
+    return F.filter(F.transform(distinct_matches(text, *P.REGISTRY), lambda x: F.trim(x)), good)
 
 
 def commands(text: Column) -> Column:
     """Command lines of over 10 characters that are not narrative."""
-    found = F.transform(distinct_matches(text, *P.COMMANDS), F.trim)
+    found = F.transform(distinct_matches(text, *P.COMMANDS), lambda x: F.trim(x))
     return F.array_distinct(F.filter(found, lambda c: (F.length(c) > 10) & ~c.rlike(P.COMMAND_NARRATIVE) & ~c.startswith("PowerShell\t")))
 
 

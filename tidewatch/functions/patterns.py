@@ -141,3 +141,19 @@ KIND_PATTERNS = {
 # Name lists of the span tagger.
 MALWARE_NAMES = ("Emotet", "Zeus", "TrickBot", "QakBot", "Dridex", "Ryuk", "LockBit")
 ACTOR_NAMES = ("APT28", "APT29", "Lazarus", "Sandworm", "FIN7")
+
+# Candidates of hosts and addresses, and what speaks for or against an indicator.
+HOST_CANDIDATE = r"(?i)\b[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+\b"
+HOST_DEFANGED = r"(?i)\b[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\[\.\][a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+\b"
+NO_HOSTS = ("e.g.", "i.e.", "etc.", "vs.", "no.", "inc.", "ltd.", "corp.", "127.0.0.1", "localhost", "0.0.0.0", "255.255.255.255")
+PACKAGE_STARTS = ("com.android.", "com.google.", "org.telegram.", "org.mozilla.", "org.thoughtcrime.", "net.openvpn.", "de.blinkt.", "eu.thedarken.", "vpn.fastvpn.")
+PACKAGE_WORDS = ("app", "apps", "browser", "messenger", "providers", "android", "mobile", "skydrive", "dropbox", "microsoft", "google", "facebook", "amazon", "apple", "telegram", "mozilla", "skype")
+NAME_SUFFIXES = (".key", ".csv", ".db", ".sh", ".rc", ".cfg", ".conf", ".ini", ".log", ".cache", ".tmp", ".bak", ".xml", ".json", ".txt", ".dat", ".pid", ".flag", ".html", ".css", ".js", ".index", ".new", ".payload")
+NAME_WORDS = ("session", "android", "cached", "syscache", "sysinfo", "aid", "ndata")
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+PRIVATE = r"^10\.|^192\.168\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^127\."
+DEFANG_MARKS = ("[.]", "[:]", "hxxp", "[victim]", "[domain]", "[ip]", "[host]")
+THREAT_CONTEXT = ("indicator", "ioc", "indicators of compromise", "threat", "malicious", "compromise", "attack", "adversary", "campaign", "actor", "apt", "unc", "exploit", "c2", "command and control", "phishing", "malware")
+TRUSTED_HOSTS = ("microsoft.com", "google.com", "amazon.com", "salesforce.com", "github.com", "stackoverflow.com", ".gov", ".edu", ".mil")
+SUSPICIOUS = r"(?i)\d+\.\d+\.\d+\.\d+|[a-z0-9]{10,}\.com|\.tk$|\.ml$|\.ga$|\.cf$|[0-9]+-[0-9]+-[0-9]+"
+PRODUCTS = (r"(?i)\b(microsoft\s+\w+)", r"(?i)\b(windows\s+[\w\s]*?\d+)", r"(?i)\b(adobe\s+\w+)", r"(?i)\b(oracle\s+\w+)", r"(?i)\b(apache\s+\w+)", r"(?i)\b(cisco\s+\w+)", r"(?i)\b(vmware\s+\w+)", r"(?i)\b(\w+\s+server)", r"(?i)\b(\w+\s+application)")

@@ -66,7 +66,7 @@ def paragraph_chunks(text: Column, most_tokens: int = 400) -> Column:
 
     A fold over the parts: each state is the chunks so far, the last of them open."""
     parts = F.flatten(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.when(_tokens(p) <= most_tokens, F.array(p)).otherwise(F.split(p, r"(?<=\.)\s+"))))
-    parts = F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda p: p != "")
     return pack_parts(parts, most_tokens, "\n\n")
 
 

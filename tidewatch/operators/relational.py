@@ -80,7 +80,7 @@ def heal(rows: DataFrame, strings: list[str] = (), lists: list[str] = (), flags:
         out[c] = F.coalesce(F.col(c).cast("string"), F.lit(""))
     for c in lists:
         items = F.split(F.col(c), ",") if kinds[c] == "string" else F.col(c)
-        out[c] = merge_lists(items, normalise=F.trim)
+        out[c] = merge_lists(items, normalise=lambda x: F.trim(x))
     for c in flags:
         out[c] = F.coalesce(F.lower(F.trim(F.col(c).cast("string"))).isin("true", "yes", "1", "on"), F.lit(False))
     for c in numbers:
