@@ -8,7 +8,6 @@ from functools import lru_cache
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,19 +47,25 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     first[1:] &= ~solid[:-1]
     cut = bounds[:-1][bounds[:-1] < len(own)]
     first[cut] = solid[cut]
-    at = np.flatnonzero(solid)
-    starts = np.flatnonzero(first)
-    offsets = np.searchsorted(starts, bounds)
-    if not len(starts):
+    offsets = np.searchsorted(np.flatnonzero(first), bounds)
+    breaks = np.flatnonzero(first[solid])
+    if not len(breaks):
         return np.empty(0, np.uint64), offsets
-    word = np.cumsum(first)[at] - 1
-    place = at - starts[word]
-    values = _BYTES[own[at]] * _PLACES[place & 63]
-    if len(place) and place.max() > 63:  # long words: the place within each 64 bytes, times a power for the block
+    letters = own[solid]
+    sizes = np.diff(np.r_[breaks, len(letters)])
+    place = np.arange(len(letters)) - np.repeat(breaks, sizes)
+    values = _BYTES[letters] * _PLACES[place & 63]
+    if sizes.max() > 64:  # long words: the place within each 64 bytes, mixed with the number of those before
         far = place > 63
         values[far] = mix64(values[far] + (place[far] >> 6).astype(np.uint64) * _ODD)
-    breaks = np.searchsorted(at, starts)
-    return mix64(np.add.reduceat(values, breaks) + np.diff(np.r_[breaks, len(at)]).astype(np.uint64)), offsets
+    return mix64(np.add.reduceat(values, breaks) + sizes.astype(np.uint64)), offsets
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -74,7 +79,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     out = []
     for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if high - low >= WORDS:
-            out.append(np.unique(grams[low : high - WORDS + 1]))
+            out.append(_distinct(grams[low : high - WORDS + 1]))
         elif high > low:
             short = np.uint64(high - low) + (words[low:high] * _STEPS[: high - low]).sum(dtype=np.uint64)
             out.append(mix64(np.array([short ^ _ODD])))
@@ -87,10 +92,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """MinHash values (32 bits) of non-empty sets, a row each."""
     starts = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
     flat = np.concatenate(sets)
-    out = np.empty((len(sets), HASHES), np.uint32)
+    mixed, least = np.empty_like(flat), np.empty((HASHES, len(sets)), np.uint64)
     for k in range(HASHES):
-        out[:, k] = np.minimum.reduceat(((flat * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), starts)
-    return out
+        np.multiply(flat, _A[k], out=mixed)
+        np.add(mixed, _B[k], out=mixed)
+        np.minimum.reduceat(mixed, starts, out=least[k])
+    return np.ascontiguousarray((least >> np.uint64(32)).astype(np.uint32).T)
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -134,15 +141,20 @@ def least_matches(similarity: int = SIMILARITY, miss: float = MISS) -> tuple[int
     return tuple(out)
 
 
-def plausible(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Of pairs of signatures (rows of left and right), which stay after all batches; later batches look at survivors only."""
+def compare(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of signatures (rows of left and right), the numbers of those that stay after all batches, and their matching
+    values; later batches look at survivors only."""
     alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
     for k, least in enumerate(least_matches()):
         part = slice(k * BATCH, (k + 1) * BATCH)
         matches[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
         alive = alive[matches[alive] >= least]
+    return alive, matches[alive]
+
+
+def plausible(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     out = np.zeros(len(left), bool)
-    out[alive] = True
+    out[compare(left, right)[0]] = True
     return out
 
 
@@ -175,33 +187,110 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose full shingle sets are similar enough. Sets are made anew from the texts of the documents in
-    pairs alone: a sieve of fixed size keeps most others from being shuffled."""
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def shingles_of(ends: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, shingles of the documents in ends (doc_id, distinct), made anew from their texts: a sieve of fixed size keeps most
+    other texts from being shuffled."""
     some = sieved(spread(docs), "doc_id", sieve_of(ends.select(id_bit("doc_id"))))
-    sets = stage_table(some.join(ends, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    return stage_table(some.join(ends, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose full shingle sets are similar enough."""
+    sets = shingles_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
     with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     with_b = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
     return with_b.mapInArrow(_verify, "a long, b long")
 
 
-def _cross(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-    """Plausible pairs of different components between the two sides of a cell (or within its only side)."""
-    left, right = members[members["side"] == 0], members[members["side"] == 1]
-    within = not len(right)
-    right = left if within else right
-    sides = [(np.frombuffer(b"".join(x["signature"]), np.uint16).reshape(-1, HASHES), x["doc_id"].to_numpy(np.int64), x["component"].to_numpy(np.int64)) for x in (left, right)]
-    (ls, li, lc), (rs, ri, rc) = sides
-    out, first = [], least_matches()[0]
-    for i in range(len(li)):
-        j = np.arange(i + 1 if within else 0, len(ri))
-        j = j[(rc[j] != lc[i]) & (ri[j] != li[i])]
-        j = j[(rs[j, :BATCH] == ls[i, :BATCH]).sum(axis=1) >= first]
-        if len(j):
-            j = j[plausible(np.broadcast_to(ls[i], (len(j), HASHES)), rs[j])]
-            out += [(min(li[i], b), max(li[i], b)) for b in ri[j]]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (numbers of sets) are similar enough, exactly. Many pairs of few sets are counted together, as a
+    product of their incidence matrix with itself, some thousand shingles at a time."""
+    sizes = np.array([len(s) for s in sets])
+    if len(a) < 4 * len(sets):
+        both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
+    else:
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        several = times > 1
+        rank = np.cumsum(several) - 1
+        keep = several[column]
+        owner, column = owner[keep], rank[column[keep]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        product = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, int(several.sum()), 4096):
+            part = slice(*np.searchsorted(column, (low, low + 4096)))
+            incidence = np.zeros((len(sets), 4096), np.float32)
+            incidence[owner[part], column[part] - low] = 1
+            product += incidence @ incidence.T
+        both = product[a, b].astype(np.int64)
+    return 100 * both >= SIMILARITY * (sizes[a] + sizes[b] - both)
+
+
+def cell_links(ids: np.ndarray, parts: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links between members of different components (parts) in a cell: within it, or between its two sides.
+
+    Pairs that survive the batches are confirmed on full sets, likely ones first; only those that join two components not yet
+    joined here are returned, so there are fewer links than members."""
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side) if side.any() else left
+    found: list[tuple[np.ndarray, ...]] = []
+    for low in range(0, len(left), max(1, 65536 // max(1, len(right)))):
+        rows = left[low : low + max(1, 65536 // max(1, len(right)))]
+        a, b = np.repeat(rows, len(right)), np.tile(right, len(rows))
+        keep = (parts[a] != parts[b]) & ((a < b) | bool(side.any()))
+        a, b = a[keep], b[keep]
+        alive, matches = compare(marks[a], marks[b])
+        found.append((a[alive], b[alive], matches))
+    a, b, matches = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int),) * 3
+    if not len(a):
+        return []
+    used, numbers = np.unique(np.r_[a, b], return_inverse=True)
+    good = _similar([sets[u] for u in used], numbers[: len(a)], numbers[len(a) :])
+    a, b, matches = a[good], b[good], matches[good]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    for k in np.argsort(-matches, kind="stable"):
+        x, y = find(int(parts[a[k]])), find(int(parts[b[k]]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append(tuple(sorted((int(ids[a[k]]), int(ids[b[k]])))))
+    return out
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of all cells; rows arrive sorted by cell (key, i, j), and one cell is held at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def links() -> list[tuple[int, int]]:
+        rows = pa.Table.from_batches(held)
+        ids, parts, side = (rows.column(k).to_numpy() for k in (4, 5, 3))
+        marks = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint16).reshape(-1, HASHES)
+        return cell_links(ids, parts, marks, [np.frombuffer(x, np.uint64) for x in rows.column(7).to_pylist()], side)
+
+    out: list[tuple[int, int]] = []
+    last = None
+    for batch in batches:
+        cells = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        edges = np.r_[0, np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1, len(cells)]
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if low == high:
+                continue
+            now = tuple(cells[low].tolist())
+            if held and now != last:
+                out += links()
+                held = []
+            last = now
+            held.append(batch.slice(low, high - low))
+    if held:
+        out += links()
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
 def near_groups(documents: DataFrame) -> DataFrame:
@@ -215,7 +304,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
     2. Every member of a band's bucket is compared with the bucket's smallest member: rows grow with the members, not with
        their pairs. Pairs that survive the signature batches are confirmed on full sets.
     3. Buckets whose members are then in several components are compared member by member, between components only, in
-       cells of two blocks of BLOCK members; survivors of the batches alone are emitted, and confirmed likewise.
+       cells of two blocks of BLOCK members, which hold the members' sets; a cell emits fewer links than it has members.
     4. Components are contracted in tables of the shared folder.
 
     Rows without doc_id are left out; rows that repeat a doc_id have the component of that id. Columns other than
@@ -241,11 +330,11 @@ def near_groups(documents: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = several.join(outside, "key", "left_semi").select("key", "doc_id", "component", blocks.alias("blocks")).join(reps.select("doc_id", "signature"), "doc_id")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "component", "signature")
-    more = stage_table(cells.groupBy("key", "i", "j").applyInPandas(_cross, "a long, b long").distinct(), "more")
+    rest = stage_table(rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "component", "signature"), "rest")
+    cells = rest.join(shingles_of(rest.select("doc_id").distinct(), docs), "doc_id").select("key", "i", "j", "side", "doc_id", "component", "signature", "shingles")
+    more = stage_table(cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cells, "a long, b long").distinct(), "more")
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more, docs))
-        joined = stage_table(components(links), "components")
+        joined = stage_table(components(links.unionByName(more)), "components")
     out = member.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
