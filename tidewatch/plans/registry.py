@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, indicators, network, text, urls
@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Query]:
-    """Registers a function of a table reader under its own name."""
+    """Registers a function of a table reader under its own name, with its SQL if there is one."""
 
     def add(f: Callable[..., DataFrame]) -> Query:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: readers.table(spark, sf_dir, name))
@@ -39,21 +39,10 @@ def _all(pattern: str, column: str = "text", group: int = 0) -> str:
     return f"regexp_extract_all({column}, {_q(pattern)}, {group})"
 
 
-def _distinct(*found: str) -> str:
-    """Ordered list without repeats, in DuckDB."""
-    joined = f"list_concat({', '.join(found)})" if len(found) > 1 else found[0]
-    return f"list_reverse(list_reduce(list_prepend(CAST([] AS VARCHAR[]), [[x] for x in {joined}]), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(b, a) END))"
-
-
 def _join(listed: str) -> str:
     return f"coalesce(array_to_string(list_sort(list_distinct({listed})), '|'), '')"
 
 
-def joined(listed) -> F.Column:
-    """The distinct entries in order, as one string."""
-    return F.array_join(F.array_sort(F.array_distinct(listed)), "|")
-
-
 def labelled(lists: dict[str, F.Column]) -> F.Column:
     """All entries of the lists as kind and value."""
 
@@ -260,11 +249,10 @@ _SENTENCES = r"""WITH RECURSIVE w AS (SELECT doc_id, t, length(t) AS n FROM (SEL
     SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CAST(i AS INTEGER) AS offset_start, CAST(cut AS INTEGER) AS offset_end, trim(substr(t, i + 1, cut - i)) AS text FROM c"""
 
 
-@query(f"SELECT doc_id, chunk_index, offset_start, offset_end, md5(text) AS digest, count(*) OVER (PARTITION BY doc_id) AS chunk_total, doc_id || ':' || (chunk_index - 1) AS prev_chunk_id FROM ({_SENTENCES}) WHERE chunk_index > 0 "
-       f"UNION ALL SELECT doc_id, chunk_index, offset_start, offset_end, md5(text), NULL, NULL FROM ({_SENTENCES}) WHERE chunk_index = 0".replace("count(*) OVER (PARTITION BY doc_id)", "NULL"))
+@query(f"SELECT doc_id, chunk_index, offset_start, offset_end, md5(text) AS digest, count(*) OVER (PARTITION BY doc_id) AS chunk_total, CASE WHEN chunk_index > 0 THEN doc_id || ':' || (chunk_index - 1) END AS prev_chunk_id FROM ({_SENTENCES})")
 def chunk_sentence(t) -> DataFrame:
     rows = chunking.with_neighbours(chunking.sentence_chunks(t("documents")))
-    return rows.select("doc_id", "chunk_index", "offset_start", "offset_end", F.md5(F.col("text").cast("binary")).alias("digest"), F.lit(None).cast("int").alias("chunk_total"), "prev_chunk_id")
+    return rows.select("doc_id", "chunk_index", "offset_start", "offset_end", F.md5(F.col("text").cast("binary")).alias("digest"), "chunk_total", "prev_chunk_id")
 
 
 @query(f"""SELECT doc_id, chunk_index, length(text) AS char_count, 'md5:' || md5(left(text, 512)) AS fingerprint, len(list_distinct({_all(P.IPV4)})) > 0 OR len({_all(P.CVE)}) > 0 OR len({_all(P.DOMAIN_PAIR)}) > 0 OR len({_all(P.HASH)}) > 0 AS has_ioc,
