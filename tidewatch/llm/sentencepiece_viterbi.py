@@ -19,8 +19,9 @@ SPACE = "▁"
 #: Fixed values of the model format: piece types, and by how much an unknown character scores below the least piece.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-#: Segments of which a worker keeps the pieces; beyond it starts afresh.
-KEPT_SEGMENTS = 400_000
+#: Units of which a worker keeps the pieces. Beyond it the longer, rarer ones go; that costs time and changes nothing.
+KEPT_UNITS = 1_000_000
+SHORT = 8
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -88,6 +89,27 @@ class Automaton:
                 queue.append(after)
             link = self.fail[state]
             self.out[state] = link if self.piece[link] >= 0 else self.out[link]
+        self.moves = [dict(x) for x in self.step]
+        self.ends: dict[int, list[tuple[int, int]]] = {}
+
+    def move(self, state: int, c: str) -> int:
+        """The state after a character, by failure links; it is kept for the next time."""
+        back = state
+        while back and c not in self.step[back]:
+            back = self.fail[back]
+        after = self.step[back].get(c, 0)
+        if len(self.moves[state]) < 512:
+            self.moves[state][c] = after
+        return after
+
+    def matches(self, state: int) -> list[tuple[int, int]]:
+        """Length and number of the pieces that end in a state, longest first, along the output links; kept likewise."""
+        found, s = [], state if self.piece[state] >= 0 else self.out[state]
+        while s:
+            found.append((self.depth[s], self.piece[s]))
+            s = self.out[s]
+        self.ends[state] = found
+        return found
 
 
 class Model:
@@ -126,53 +148,74 @@ class Model:
     def viterbi(self, text: str) -> list[int]:
         """The pieces of greatest total score. The automaton reads each character once; at each position the output links give
         the pieces that end there, longest first, and relax the best score. Of equal scores the longest last piece stays."""
-        a, score, n = self.automaton, self.score, len(text)
-        step, fail, out, piece, depth = a.step, a.fail, a.out, a.piece, a.depth
-        best, back = [0.0] + [0.0] * n, [(-1, 0)] * (n + 1)
+        moves, move, ends, matches = self.automaton.moves, self.automaton.move, self.automaton.ends, self.automaton.matches
+        score, unknown, n = self.score, self.unknown, len(text)
+        best, sizes, numbers = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         state = 0
-        for i, c in enumerate(text):
-            while state and c not in step[state]:
-                state = fail[state]
-            state = step[state].get(c, 0)
-            top, choice, single = None, None, False
-            s = state if piece[state] >= 0 else out[state]
-            while s:
-                size = depth[s]
-                total = best[i + 1 - size] + score[piece[s]]
+        for i, c in enumerate(text, 1):
+            after = moves[state].get(c)
+            state = move(state, c) if after is None else after
+            found = ends.get(state)
+            if found is None:
+                found = matches(state)
+            top = None
+            for size, number in found:
+                total = best[i - size] + score[number]
+                if top is None or total > top:
+                    top, choice, width = total, number, size
+            if not found or size != 1:  # no piece is this character alone
+                total = best[i - 1] + self.unknown_score
                 if top is None or total > top:
-                    top, choice = total, (piece[s], size)
-                single = single or size == 1
-                s = out[s]
-            if not single and (top is None or best[i] + self.unknown_score > top):
-                top, choice = best[i] + self.unknown_score, (self.unknown, 1)
-            best[i + 1], back[i + 1] = top, choice
+                    top, choice, width = total, unknown, 1
+            best[i], sizes[i], numbers[i] = top, width, choice
         ids, i = [], n
         while i:
-            number, size = back[i]
-            if number == self.unknown and self.byte_fallback:
+            number, size = numbers[i], sizes[i]
+            if number == unknown and self.byte_fallback:
                 ids += [self.bytes[b] for b in reversed(text[i - size : i].encode("utf-8", "surrogatepass"))]
             else:
                 ids.append(number)
             i -= size
         return ids[::-1]
 
-    def segment(self, text: str) -> bytes:
-        found = self.kept.get(text)
-        if found is None:
-            if len(self.kept) >= KEPT_SEGMENTS:
-                self.kept.clear()
-            found = self.kept[text] = np.array(self.viterbi(text), "<u4").tobytes()
-        return found
+    def segments(self, text: str) -> bytes:
+        """Ids of a text in which blanks are written out, cut where no piece can span the border."""
+        return b"".join([np.array(self.viterbi(x), "<u4").tobytes() for x in (_SEGMENT if self.line_alone else _BLANKS).findall(text)])
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit words; null counts as empty.
+
+        No piece spans the border before a blank that follows another character, or beside a line end. So a text with single
+        blanks alone is split at them, and equal units are solved once; any other text is solved segment by segment."""
+        units: list[str] = []
+        whole: dict[int, bytes] = {}
+        ends = []
+        for k, text in enumerate(texts):
+            if not text:
+                pass
+            elif self.crossing or not (self.dummy_prefix and self.line_alone):
+                whole[k] = np.array(self.viterbi((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)), "<u4").tobytes()
+            elif "  " in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] == " " or SPACE in text:
+                whole[k] = self.segments(SPACE + text.replace(" ", SPACE))
+            else:
+                units += text.replace("\n", " \n").split(" ")
+            ends.append(len(units))
+        found = list(map(self.kept.get, units))
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            if len(self.kept) + len(missing) > KEPT_UNITS:
+                self.kept = {u: x for u, x in self.kept.items() if len(u) <= SHORT}
+                if len(self.kept) > KEPT_UNITS // 2:
+                    self.kept = {}
+            for i in missing:
+                unit = units[i]
+                if (ids := self.kept.get(unit)) is None:
+                    ids = self.kept[unit] = self.segments(unit if unit[0] == "\n" else SPACE + unit)
+                found[i] = ids
+        return [whole[k] if k in whole else b"".join(found[a:b]) for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian 32-bit words; null counts as empty. The text is cut where no piece can span the border (before
-        a blank that follows another character, and around line ends), so each segment is solved on its own, in one pass."""
-        if not text:
-            return b""
-        text = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
-        if self.crossing:
-            return np.array(self.viterbi(text), "<u4").tobytes()
-        return b"".join(map(self.segment, (_SEGMENT if self.line_alone else _BLANKS).findall(text)))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: byte pieces are put together, blanks restored, the added first blank dropped."""
@@ -200,7 +243,7 @@ def encode_documents(documents: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                ids = [np.frombuffer(model.encode(t), "<u4").astype(np.int32) for t in part.column(1).to_pylist()]
+                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in model.encode_all(part.column(1).to_pylist())]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
 
@@ -229,11 +272,12 @@ def round_trip(documents: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                back = model.decode(ids := model.encode(text))
-                rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (text or "")))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, list(zip(*rows, strict=True)) or [[]] * 4, kinds)], names=["doc_id", "n_pieces", "ids_crc32", "text_sha256", "round_trip"])
+            for part in (batch.slice(low, 256) for low in range(0, batch.num_rows, 256)):
+                rows, texts = [], part.column(1).to_pylist()
+                for text, ids in zip(texts, model.encode_all(texts), strict=True):
+                    back = model.decode(ids)
+                    rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (text or "")))
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, list(zip(*rows, strict=True)) or [[]] * 4, kinds)], names=["doc_id", "n_pieces", "ids_crc32", "text_sha256", "round_trip"])
 
     return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string, round_trip boolean")
