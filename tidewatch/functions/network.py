@@ -60,4 +60,4 @@ def private_needs_context(ip: Column, text: Column) -> Column:
     """Whether a threat word lies within 100 characters of an address's first occurrence."""
     at = F.instr(text, ip)
     around = F.substr(text, F.greatest(at - 100, F.lit(1)), F.length(ip) + 200)
-    return F.lower(around).rlike("malware|c2|command|control|beacon|callback|threat|attack|compromise|infrastructure")
+    return F.lower(around).rlike("|".join(P.THREAT_NEAR))

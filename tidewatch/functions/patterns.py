@@ -30,11 +30,13 @@ FILE_PATHS = (
     r"/(?:tmp|var|home|opt|usr|etc|bin|sbin|root|boot|dev|proc|sys|lib|lib64|run|srv|mnt|media)/[^/\s]+(?:/[^/\s]+)*(?:\.[a-zA-Z0-9]{2,5})?",
     r"/[^/\s]+/[^/\s]+\.[a-zA-Z0-9]{2,5}",
     r"\.{1,2}/[^/\s]+(?:/[^/\s]+)*(?:\.[a-zA-Z0-9]{2,5})?",
+    r"(?i)%[A-Z_]+%\\[^\\/:*?\"<>|\r\n]+(?:\\[^\\/:*?\"<>|\r\n]+)*",
 )
 PATH_STOP_WORDS = ("http", "www", "mailto:", "javascript:", "data:", "about:", "chrome:", "file://", "ftp://", "ssh://", "[.]", "hxxp", "suspicious", "detected", "blocked")
 REGISTRY = (
     r"(?i)(?:HKEY_[A-Z_]+|HKLM|HKCU|HKCR|HKU|HKCC)\\[^\\]+(?:\\[^\\]+)*",
     r"(?i)\\Registry\\Machine\\[^\\]+(?:\\[^\\]+)*",
+    r"(?i)(?:(?:HKEY_[A-Z_]+|HKLM|HKCU|HKCR|HKU|HKCC)\\)?(?:SOFTWARE|SYSTEM)\\[^\\]+(?:\\[^\\]+)*",
 )
 REGISTRY_ROOTS = ("HKEY_CLASSES_ROOT", "HKCR", "HKEY_CURRENT_USER", "HKCU", "HKEY_LOCAL_MACHINE", "HKLM", "HKEY_USERS", "HKU", "HKEY_CURRENT_CONFIG", "HKCC", "HKEY_PERFORMANCE_DATA", "HKEY_DYN_DATA")
 COMMANDS = (
@@ -157,3 +159,17 @@ THREAT_CONTEXT = ("indicator", "ioc", "indicators of compromise", "threat", "mal
 TRUSTED_HOSTS = ("microsoft.com", "google.com", "amazon.com", "salesforce.com", "github.com", "stackoverflow.com", ".gov", ".edu", ".mil")
 SUSPICIOUS = r"(?i)\d+\.\d+\.\d+\.\d+|[a-z0-9]{10,}\.com|\.tk$|\.ml$|\.ga$|\.cf$|[0-9]+-[0-9]+-[0-9]+"
 PRODUCTS = (r"(?i)\b(microsoft\s+\w+)", r"(?i)\b(windows\s+[\w\s]*?\d+)", r"(?i)\b(adobe\s+\w+)", r"(?i)\b(oracle\s+\w+)", r"(?i)\b(apache\s+\w+)", r"(?i)\b(cisco\s+\w+)", r"(?i)\b(vmware\s+\w+)", r"(?i)\b(\w+\s+server)", r"(?i)\b(\w+\s+application)")
+
+# Words in names of link parameters, near private addresses, and of text categories in the order in which they are tried.
+LINK_WORDS = ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid", "gclid", "ref", "source", "campaign")
+THREAT_NEAR = ("malware", "c2", "command", "control", "beacon", "callback", "threat", "attack", "compromise", "infrastructure")
+CATEGORIES = (
+    ("mitigation", ("out-of-band", "patch", "workaround", "mitigation")),
+    ("observed_in_wild", ("exploited in the wild", "actively exploited")),
+    ("ioc", ("ioc",)),
+    ("exploit", ("exploit", "rce", "poc", "weaponized")),
+)
+
+# What registry keys do not hold.
+REGISTRY_STOP = r"(?i)http|www|ftp://|\[\.\]|hxxp|javascript:|mailto:|file://|cmd\.exe|powershell\.exe|sc create|reg add|net start|net stop|&&|\|\||; |\n"
+REGISTRY_ODD = r"(?i)\\\\|\\$|\s+\\|\\\s+|\s+(create|add|delete|query|start|stop)\s+|(sc|net|reg)\s+"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import CATEGORIES
+
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"  # fixed value: the name space of addresses in name-based UUIDs
 
 
@@ -60,13 +62,7 @@ def snippet(text: Column, literal: Column, around: int = 50, most: int = 200) ->
 
 def context_category(heading: Column, text: Column) -> Column:
     t = F.lower(F.concat(F.coalesce(heading, F.lit("")), F.lit(" "), text))
-    return (
-        F.when(t.rlike("out-of-band|patch|workaround|mitigation"), "mitigation")
-        .when(t.rlike("exploited in the wild|actively exploited"), "observed_in_wild")
-        .when(t.rlike("ioc"), "ioc")
-        .when(t.rlike("exploit|rce|poc|weaponized"), "exploit")
-        .otherwise("body")
-    )
+    return F.coalesce(*(F.when(t.rlike("|".join(words)), name) for name, words in CATEGORIES), F.lit("body"))
 
 
 def strip_html(html: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import TRACKING_PARAMETERS
+from .patterns import LINK_WORDS, TRACKING_PARAMETERS
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -35,7 +35,7 @@ def canonical_url(url: Column) -> Column:
     return F.concat(scheme, F.lit("://"), name, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""))
 
 
-def clean_link(url: Column, words: tuple[str, ...] = ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid", "gclid", "ref", "source", "campaign")) -> Column:
+def clean_link(url: Column, words: tuple[str, ...] = LINK_WORDS) -> Column:
     """Without the parameters whose name contains one of the words."""
     kept = F.filter(F.split(_part(url, 4), "&"), lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).rlike("|".join(words)))
     query = F.array_join(kept, "&")
