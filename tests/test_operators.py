@@ -26,6 +26,16 @@ def test_budgets(spark):
     assert got["t"] == "low\nCVE-2020-1"
 
 
+def test_sentence_budget_and_relevance(spark):
+    t = " ".join(f"Sentence number {i} has some words." for i in range(12))
+    run = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
+    got = run(chunking.sentence_budget_chunks(F.lit(t), 30, 10))
+    assert got[0].startswith("Sentence number 0") and got[-1].endswith("11 has some words.") and len(got) > 2
+    assert all(b.startswith(a.rsplit("Sentence", 1)[1].join(["Sentence", ""])) for a, b in zip(got, got[1:], strict=False))
+    assert run(chunking.sentence_budget_chunks(F.lit(""), 30, 10)) == []
+    assert run(chunking.relevant_chunks(F.array(F.lit("tea"), F.lit("a phishing mail"), F.lit("CVE-2020-1")), 6, "|")) == "a phishing mail|CVE-2020-1"
+
+
 def test_smart_distinct(spark):
     rows = spark.createDataFrame([(0, "Cobalt-Strike"), (1, "cobalt strike  "), (2, "Cobalt_Strike."), (3, " ")], "pos long, name string")
     got = relational.smart_distinct(rows, "name", F.col("pos")).collect()

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import context_category
+from ..functions.classify import relevance
+from ..functions.text import context_category, estimate_tokens
 
 
 def fixed_chunks(documents: DataFrame, tokens: int = 512, overlap: int = 128, heading: str = "body") -> DataFrame:
@@ -103,3 +104,35 @@ def truncate_by_priority(text: Column, most_tokens: int) -> Column:
 
     kept = F.aggregate(F.array_sort(lines), start, step, lambda s: F.array_sort(s["kept"]))
     return F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
+
+
+def sentence_budget_chunks(text: Column, most_tokens: int = 400, overlap_tokens: int = 50) -> Column:
+    """Sentences put together while their estimated tokens stay within the budget. A new chunk begins with the last sentences
+    of the one before, as far as the overlap goes; a sentence over the budget stands alone after them."""
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    sized = F.transform(parts, lambda s: F.struct(s.alias("s"), estimate_tokens(s).alias("n")))
+    none = F.array().cast("array<struct<s:string,n:bigint>>")
+    join = lambda a: F.array_join(F.transform(a, lambda x: x["s"]), " ")
+
+    def tail(opened: Column) -> Column:
+        start = F.struct(F.lit(True).alias("on"), F.lit(0).cast("bigint").alias("used"), none.alias("kept"))
+
+        def back(state: Column, x: Column) -> Column:
+            fits = state["on"] & (state["used"] + x["n"] <= overlap_tokens)
+            return F.when(fits, F.struct(F.lit(True).alias("on"), (state["used"] + x["n"]).alias("used"), F.concat(F.array(x), state["kept"]).alias("kept"))).otherwise(F.struct(F.lit(False).alias("on"), state["used"].alias("used"), state["kept"].alias("kept")))
+
+        return F.aggregate(F.reverse(opened), start, back, lambda s: s["kept"])
+
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda n, x: n + x["n"])
+    start = F.struct(F.array().cast("array<string>").alias("done"), none.alias("open"))
+
+    def step(state: Column, x: Column) -> Column:
+        full = (F.size(state["open"]) > 0) & (total(state["open"]) + x["n"] > most_tokens)
+        return F.when(full, F.struct(F.concat(state["done"], F.array(join(state["open"]))).alias("done"), F.concat(tail(state["open"]), F.array(x)).alias("open"))).otherwise(F.struct(state["done"].alias("done"), F.concat(state["open"], F.array(x)).alias("open")))
+
+    return F.aggregate(sized, start, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(join(s["open"])))).otherwise(s["done"]))
+
+
+def relevant_chunks(chunks: Column, least: int = 6, separator: str = "\n\n---\n\n") -> Column:
+    """The chunks rated relevant enough, put together in order."""
+    return F.array_join(F.filter(chunks, lambda c: relevance(c) >= least), separator)
