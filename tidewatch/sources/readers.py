@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 # File signatures and suffixes by media type.
 SIGNATURES = (("%PDF", "application/pdf"), ("<?xml", "application/xml"), ("<!DOCTYPE html", "text/html"), ("<html", "text/html"), ("{", "application/json"), ("[", "application/json"))
 SUFFIXES = {"html": "text/html", "htm": "text/html", "json": "application/json", "xml": "application/xml", "rss": "application/rss+xml", "pdf": "application/pdf", "txt": "text/plain"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def json_records(lines: DataFrame, order: str, line: str) -> DataFrame:
