@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bits of a row sieve. Its broadcast is 1 MiB whatever the input; when it fills up it only lets more rows through.
 SIEVE_BITS = 1 << 23
 #: Bytes of text handled at once by the numpy kernels; longer documents form a run of their own.
@@ -32,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
+    spark = ship(df.sparkSession)
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -50,12 +52,18 @@ def drop_table(df: DataFrame) -> None:
 
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows out when the files give fewer partitions than there are cores; larger inputs keep their scan partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = ship(df.sparkSession).sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def gathered(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a table of bounded size, brought to the driver as Arrow batches."""
+    table = df.toArrow()
+    return {name: table.column(name).to_numpy() for name in table.column_names}
 
 
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,14 +102,13 @@ def sieve_of(bits: DataFrame) -> np.ndarray:
 
     Its words are or-ed together by Spark, so the driver receives SIEVE_BITS / 64 rows at most, however many rows there are."""
     bit = F.col(bits.columns[0])
-    words = (
+    words = gathered(
         bits.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast({bits.columns[0]} & 63 as int))").alias("mask"))
         .groupBy("word")
         .agg(F.bit_or("mask").alias("mask"))
-        .toPandas()
     )
     sieve = np.zeros(SIEVE_BITS // 64, np.int64)
-    sieve[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
+    sieve[words["word"].astype(np.int64)] = words["mask"]
     return sieve
 
 
@@ -114,13 +121,18 @@ def id_bit(column: str):
     return F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS)).alias("bit")
 
 
-def sieved(df: DataFrame, key: str, sieve: np.ndarray) -> DataFrame:
-    """Rows of df whose key may be in the sieve (of id_bit numbers). No row of a key in it is lost; a few others may pass."""
-    shared = df.sparkSession.sparkContext.broadcast(sieve)
+def sieved(df: DataFrame, key: str, sieve: np.ndarray, other: np.ndarray | None = None, within: bool = False) -> DataFrame:
+    """Rows of df whose key may be in the sieve (of id_bit numbers): no row of a key in it is lost, a few others may pass. With
+    another sieve, of these rows those that may be in it (within), or those that are surely not."""
+    shared = df.sparkSession.sparkContext.broadcast((sieve, other))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = shared.value
         for batch in batches:
-            hit = sieve_hits(shared.value, batch.column(batch.num_columns - 1).to_numpy())
+            bits = batch.column(batch.num_columns - 1).to_numpy()
+            hit = sieve_hits(first, bits)
+            if second is not None:
+                hit &= sieve_hits(second, bits) == within
             yield batch.filter(pa.array(hit)).select(range(batch.num_columns - 1))
 
     return df.withColumn("_bit", id_bit(key)).mapInArrow(keep, df.schema)

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bit, row_runs, sieve_of, sieved, spread, stage_table, utf8_buffers
+from .common import gathered, id_bit, row_runs, sieve_of, sieved, spread, stage_table, utf8_buffers
 
 #: Order of the model, in characters.
 ORDER = 4
@@ -61,22 +61,25 @@ def gram_codes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return codes, starts
 
 
-def count_codes(texts: DataFrame) -> DataFrame:
-    """code, n of the ORDER-grams of all rows (column text), added up in each task first."""
+def count_codes(texts: DataFrame, part: Column | None = None) -> DataFrame:
+    """part, code, n of the ORDER-grams of all rows (column text), added up in each task first. part is 0 or 1 (default: 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(ALPHABET**ORDER, np.int32)
+        cells = ALPHABET**ORDER
+        sums = np.zeros(2 * cells, np.int32)
         for batch in batches:
             data, bounds = utf8_buffers(batch.column(0))
+            parts = batch.column(1).to_numpy()
             for low, high in row_runs(bounds):
-                codes, _ = gram_codes(data, bounds[low : high + 1])
+                codes, starts = gram_codes(data, bounds[low : high + 1])
                 if len(codes):
-                    found, n = np.unique(codes, return_counts=True)
+                    found, n = np.unique(codes + np.repeat(parts[low:high], np.diff(starts)) * cells, return_counts=True)
                     sums[found] += n.astype(np.int32)
         at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at // cells, pa.int32()), pa.array(at % cells, pa.int64()), pa.array(sums[at], pa.int64())], names=["part", "code", "n"])
 
-    return spread(texts.select("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    rows = texts.select("text", (F.lit(0) if part is None else part).cast("int").alias("part"))
+    return spread(rows).mapInArrow(run, "part int, code long, n long").groupBy("part", "code").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -94,14 +97,14 @@ def kneser_ney(counts: DataFrame) -> np.ndarray:
     For each order, from 1 up, a join of the counts by context with the totals of their contexts and of the next lower order
     by suffix gives the interpolated probability; both sides are dealt by key. Lower orders count the distinct symbols that
     precede. The driver receives the seen grams and contexts only, and fills in the others from the weight of their context."""
-    tables = {ORDER: counts}
+    spark = counts.sparkSession
+    tables = {ORDER: counts.groupBy("code").agg(F.sum("n").alias("n"))}
     for order in range(ORDER - 1, 0, -1):
         tables[order] = tables[order + 1].groupBy((F.col("code") % ALPHABET**order).alias("code")).agg(F.count("*").alias("n"))
     dense, lower = np.full(1, 1.0 / ALPHABET), None
     for order in range(1, ORDER + 1):
-        table = stage_table(tables[order], f"counts{order}")
-        d1, d2, d3 = _discounts(table)
-        table = table.withColumn("context", F.expr(f"code div {ALPHABET}"))
+        d1, d2, d3 = _discounts(tables[order])
+        table = tables[order].withColumn("context", F.expr(f"code div {ALPHABET}"))
         few = lambda k: F.count(F.when(F.col("n") == k, 1))
         contexts = table.groupBy("context").agg(
             F.sum("n").alias("total"), ((few(1) * d1 + few(2) * d2 + F.count(F.when(F.col("n") >= 3, 1)) * d3) / F.sum("n")).alias("weight")
@@ -109,14 +112,14 @@ def kneser_ney(counts: DataFrame) -> np.ndarray:
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         joined = table.join(contexts, "context").withColumn("suffix", F.col("code") % ALPHABET ** (order - 1))
         joined = joined.withColumn("lower", F.lit(1.0 / ALPHABET)) if lower is None else joined.join(lower, "suffix")
-        seen = stage_table(joined.select("code", "context", "weight", ((F.col("n") - discount) / F.col("total") + F.col("weight") * F.col("lower")).alias("p")), f"order{order}")
-        lower = seen.select(F.col("code").alias("suffix"), F.col("p").alias("lower"))
-        rows = seen.toPandas()
+        rows = gathered(joined.select("code", "context", "weight", ((F.col("n") - discount) / F.col("total") + F.col("weight") * F.col("lower")).alias("p")))
+        if order < ORDER:
+            lower = spark.createDataFrame(pa.table({"suffix": pa.array(rows["code"], pa.int64()), "lower": pa.array(rows["p"], pa.float64())}))
         weights = np.ones(ALPHABET ** (order - 1))
-        weights[rows["context"].to_numpy(int)] = rows["weight"]
+        weights[rows["context"].astype(int)] = rows["weight"]
         grid = np.arange(ALPHABET**order)
         dense = weights[grid // ALPHABET] * dense[grid % ALPHABET ** (order - 1)]
-        dense[rows["code"].to_numpy(int)] = rows["p"]
+        dense[rows["code"].astype(int)] = rows["p"]
     return np.log(np.maximum(dense, 1e-12)).astype(np.float32)
 
 
@@ -162,12 +165,12 @@ def fit(trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN)
     the other half, whose quantile of perplexity per language is the limit.
 
     Languages with fewer than 50 held-out documents share the limit of all. Without trusted text every document is accepted."""
-    halves = stage_table(trusted.select("doc_id", "text", language().alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")), "trusted")
-    counts = [stage_table(count_codes(halves.filter(F.col("half") == h)), f"half{h}") for h in (0, 1)]
-    scored = stage_table(score(halves.filter("half = 1"), kneser_ney(counts[0]), ["lang"]), "held-out")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    counts = stage_table(count_codes(trusted, half), "counts")
+    other = trusted.filter(half == 1).select("text", language().alias("lang"))
+    scored = stage_table(score(other, kneser_ney(counts.filter("part = 0")), ["lang"]), "held-out")
     sums = scored.agg(F.sum("nll").alias("nll"), F.sum("n_symbols").alias("n")).first()
-    both = counts[0].unionByName(counts[1]).groupBy("code").agg(F.sum("n").alias("n"))
-    table = kneser_ney(both)
+    table = kneser_ney(counts)
     if not sums["n"]:
         return QualityModel(table, 0.0, {}, float("inf"))
     typical = sums["nll"] / sums["n"]
@@ -190,7 +193,14 @@ def classify(documents: DataFrame, model: QualityModel, keep: list[str]) -> Data
 
 
 def trusted_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that a label calls good. A sieve of their ids lets few other texts reach the join."""
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    some = sieved(spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("doc_id is not null")), "doc_id", sieve_of(good.select(id_bit("doc_id"))))
-    return some.join(good, "doc_id", "left_semi")
+    """doc_id, text, lang of documents that a label calls good, without shuffling their texts.
+
+    A first sieve holds the good ids; a second one those ids of documents that pass the first but are not good (found by a
+    join of ids alone). A document in the first and not in the second is good for certain; only the few in both are joined."""
+    good = stage_table(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "good")
+    docs = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("doc_id is not null"))
+    first = sieve_of(good.select(id_bit("doc_id")))
+    ids = sieved(documents.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null"), "doc_id", first)
+    second = sieve_of(ids.join(good, "doc_id", "left_anti").select(id_bit("doc_id")))
+    certain = sieved(docs, "doc_id", first, second)
+    return certain.unionByName(sieved(docs, "doc_id", first, second, within=True).join(good, "doc_id", "left_semi"))
