@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, row_runs, spread
+from .common import gathered, mix64, row_runs, spread
 
 #: Hash buckets; the model is a matrix of this many rows and a column per language.
 BUCKETS = 1 << 16
@@ -101,12 +101,13 @@ def count_grams(documents: DataFrame, text: str = "text", lang: str = "lang") ->
 
 def fit(documents: DataFrame, smoothing: float = 0.5, text: str = "text", lang: str = "lang") -> LanguageModel:
     """A model of all languages in the given rows. The driver receives BUCKETS + 1 counts a language at most."""
-    counts = count_grams(documents, text, lang).toPandas()
-    languages = sorted(counts["lang"].unique())
+    counts = gathered(count_grams(documents, text, lang))
+    languages = sorted(set(counts["lang"].tolist()))
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; a model holds {MOST_LANGUAGES} at most")
     matrix = np.zeros((BUCKETS + 1, len(languages)))
-    matrix[counts["bucket"].to_numpy(int), np.searchsorted(languages, counts["lang"].to_numpy(str))] = counts["n"]
+    place = {name: i for i, name in enumerate(languages)}
+    matrix[counts["bucket"].astype(int), [place[x] for x in counts["lang"].tolist()]] = counts["n"]
     grams, docs = matrix[:-1] + smoothing, matrix[-1]
     return LanguageModel(languages, np.log(grams / grams.sum(axis=0)).astype(np.float32) if languages else np.zeros((BUCKETS, 0), np.float32), np.log(docs / docs.sum()) if languages else np.zeros(0))
 

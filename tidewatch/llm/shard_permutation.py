@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import mix64, stage_table
+from .common import gathered, mix64, stage_table
 
 #: Cells over which rows are numbered. Their counts, at most this many rows, are all that the numbering gathers.
 CELLS = 4096
@@ -51,12 +51,11 @@ def shard_rows(rows: DataFrame, key_columns: list[str], shards: int, seed: int =
         raise ValueError(f"columns {sorted(clash)} exist already")
     cell, start = _free("_cell", rows.columns), _free("_start", rows.columns)
     dealt = stage_table(rows.withColumn(cell, F.pmod(F.xxhash64(*key_columns), F.lit(CELLS)).cast("int")), "numbered")
-    counts = dealt.groupBy(cell).count().toPandas().sort_values(cell)  # CELLS rows at most
-    total = int(counts["count"].sum())
-    starts = np.zeros(CELLS, np.int64)
-    starts[counts[cell].to_numpy(int)] = counts["count"].to_numpy(np.int64).cumsum() - counts["count"].to_numpy(np.int64)
-    spark = rows.sparkSession
-    table = spark.createDataFrame(pd.DataFrame({cell: np.arange(CELLS, dtype=np.int32), start: starts}), T.StructType([T.StructField(cell, T.IntegerType()), T.StructField(start, T.LongType())]))
+    counts = gathered(dealt.groupBy(cell).count())  # CELLS rows at most
+    sizes = np.zeros(CELLS, np.int64)
+    sizes[counts[cell].astype(int)] = counts["count"]
+    total = int(sizes.sum())
+    table = rows.sparkSession.createDataFrame(pa.table({cell: pa.array(np.arange(CELLS), pa.int32()), start: pa.array(sizes.cumsum() - sizes)}))
 
     @F.pandas_udf("long")
     def permuted(number: pd.Series) -> pd.Series:
