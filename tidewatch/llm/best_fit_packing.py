@@ -12,10 +12,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bpe_ids import text_ids
-from .common import spread, stage_table
+from .common import gathered, spread, stage_table
 
 #: A bin type is a tuple of lengths in descending order; a solution counts how many sequences of each type there are.
 Bins = Counter
@@ -196,15 +195,16 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 1024, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = text_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                n, start, piece = len(ids) // 4, 0, 0
-                size = n if n <= capacity else n % capacity or capacity
-                while start < n:
-                    rows.append((doc, piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
-                    start, piece, size = start + size, piece + 1, capacity
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, list(zip(*rows, strict=True)) or [[]] * 5, [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()])), names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part in (batch.slice(low, 256) for low in range(0, batch.num_rows, 256)):
+                rows = []
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                    ids += end
+                    n, start, piece = len(ids) // 4, 0, 0
+                    size = n if n <= capacity else n % capacity or capacity
+                    while start < n:
+                        rows.append((doc, piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
+                        start, piece, size = start + size, piece + 1, capacity
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, list(zip(*rows, strict=True)) or [[]] * 5, [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()])), names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, PIECES)
 
@@ -217,11 +217,11 @@ def pack(found: DataFrame, capacity: int = 1024) -> DataFrame:
     capacity * CELLS at most, so no task holds all pieces of a frequent length."""
     spark = found.sparkSession
     found = stage_table(found.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(CELLS)).cast("int")), "pieces")
-    counts = found.groupBy("length", "cell").count().toPandas().sort_values(["length", "cell"])
+    counts = pd.DataFrame(gathered(found.groupBy("length", "cell").count())).sort_values(["length", "cell"])
     demand = {int(k): int(n) for k, n in counts.groupby("length")["count"].sum().items()}
     counts["base"] = counts.groupby("length")["count"].cumsum() - counts["count"]
-    schema = T.StructType([T.StructField("length", T.IntegerType()), T.StructField("cell", T.IntegerType()), T.StructField("base", T.LongType())])
-    bases = spark.createDataFrame([tuple(map(int, r)) for r in counts[["length", "cell", "base"]].itertuples(index=False)], schema)
+    kinds = {"length": pa.int32(), "cell": pa.int32(), "base": pa.int64()}
+    bases = spark.createDataFrame(pa.table({c: pa.array(counts[c].to_numpy(), kind) for c, kind in kinds.items()}))
     where = spark.sparkContext.broadcast(places(plan_bins(spark, demand, capacity)))
 
     @F.pandas_udf("sequence_id long, offset long")
