@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import gathered, id_bit, row_runs, sieve_of, sieved, spread, stage_table, utf8_buffers
+from .sharded_grams import GramModel, count_grams, fit_grams, score_grams
 
 #: Order of the model, in characters.
 ORDER = 4
@@ -123,29 +124,9 @@ def kneser_ney(counts: DataFrame) -> np.ndarray:
     return np.log(np.maximum(dense, 1e-12)).astype(np.float32)
 
 
-def score(documents: DataFrame, model: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns `keep` with n_symbols and nll, the sum of negative log probabilities of the whole text (null: 0 and 0)."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", n_symbols long, nll double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            data, bounds = utf8_buffers(batch.column(batch.num_columns - 1))
-            n, nll = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for low, high in row_runs(bounds):
-                codes, starts = gram_codes(data, bounds[low : high + 1])
-                n[low:high] = np.diff(starts)
-                nll[low:high] = np.diff(np.r_[0.0, np.cumsum(-table[codes], dtype=np.float64)][starts])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.array(nll)], names=[*keep, "n_symbols", "nll"])
-
-    return spread(rows).mapInArrow(run, schema)
-
-
 @dataclass
 class QualityModel:
-    table: np.ndarray
+    grams: GramModel
     typical: float  # mean negative log probability of a trusted symbol
     limits: dict[str, float]  # per language, the greatest accepted log perplexity
     default: float
@@ -166,24 +147,24 @@ def fit(trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN)
 
     Languages with fewer than 50 held-out documents share the limit of all. Without trusted text every document is accepted."""
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    counts = stage_table(count_codes(trusted, half), "counts")
+    counts = stage_table(count_grams(trusted, half), "counts")
     other = trusted.filter(half == 1).select("text", language().alias("lang"))
-    scored = stage_table(score(other, kneser_ney(counts.filter("part = 0")), ["lang"]), "held-out")
+    scored = stage_table(score_grams(other, fit_grams(counts.filter("part = 0"), _discounts), ["lang"]), "held-out")
     sums = scored.agg(F.sum("nll").alias("nll"), F.sum("n_symbols").alias("n")).first()
-    table = kneser_ney(counts)
+    grams = fit_grams(counts.groupBy("gram").agg(F.sum("n").alias("n")), _discounts)
     if not sums["n"]:
-        return QualityModel(table, 0.0, {}, float("inf"))
+        return QualityModel(grams, 0.0, {}, float("inf"))
     typical = sums["nll"] / sums["n"]
     limit = (F.percentile_approx(shrunk(typical), quantile, 100000) + float(np.log(margin))).alias("limit")
     overall = scored.agg(limit).first()["limit"]
     rows = scored.groupBy("lang").agg(F.count("*").alias("n"), limit).filter("n >= 50").orderBy(F.desc("n"), "lang").limit(1000).collect()
-    return QualityModel(table, typical, {r["lang"]: r["limit"] for r in rows}, overall)
+    return QualityModel(grams, typical, {r["lang"]: r["limit"] for r in rows}, overall)
 
 
 def classify(documents: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
     """The columns `keep` with n_symbols, log_perplexity, limit and accepted. Empty and null texts have typical perplexity
     and so are accepted; unknown languages have the limit of all."""
-    scored = score(documents.withColumn("_lang", language()), model.table, [*keep, "_lang"])
+    scored = score_grams(documents.withColumn("_lang", language()), model.grams, [*keep, "_lang"])
     limit = F.lit(model.default)
     if model.limits:
         pairs = F.create_map(*(F.lit(x) for pair in model.limits.items() for x in pair))
