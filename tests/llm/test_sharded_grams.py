@@ -75,3 +75,15 @@ def test_junk_in_another_script(spark, documents):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
     model = kn.fit(kn.trusted_documents(docs, labels))
     assert [r["doc_id"] for r in kn.classify(docs, model, ["doc_id"]).filter("not accepted").collect()] == [900]
+
+
+def test_every_language_has_its_own_limit(spark, documents):
+    """Fewer than 50 held-out documents, and more languages than 1000, still give limits."""
+    texts = {i: f"text number {i} of its kind" for i in range(4400)}
+    docs = documents(texts, {i: f"l{i % 2200}" for i in texts})
+    model = kn.fit(docs)
+    held = {r["lang"] for r in docs.filter("pmod(xxhash64(doc_id), 2) = 1").select("lang").distinct().collect()}
+    limits = {r["lang"]: r["limit"] for r in model.limits.collect()}
+    assert set(limits) == held and len(held) > 1000 and len(set(limits.values())) > 100
+    got = kn.classify(docs.limit(200), model, ["doc_id", "lang"]).collect()
+    assert all(r["limit"] == limits.get(r["lang"], model.default) for r in got) and len(got) == 200

@@ -22,6 +22,8 @@ PRIOR_CHARS = 120.0
 #: Quantile of trusted held-out perplexity, per language, and the factor on it above which a document is rejected.
 QUANTILE = 0.999
 MARGIN = 1.05
+#: Held-out documents of a language that weigh as much as the limit of all languages together.
+SHRINKAGE = 10.0
 
 
 def _symbols() -> np.ndarray:
@@ -128,7 +130,7 @@ def kneser_ney(counts: DataFrame) -> np.ndarray:
 class QualityModel:
     grams: GramModel
     typical: float  # mean negative log probability of a trusted symbol
-    limits: dict[str, float]  # per language, the greatest accepted log perplexity
+    limits: DataFrame | None  # lang and limit, the greatest accepted log perplexity, of every language held out
     default: float
 
 
@@ -145,7 +147,8 @@ def fit(trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN)
     """A model of trusted documents (doc_id, text, lang). All of them are counted. A model of one half, by hashed id, scores
     the other half, whose quantile of perplexity per language is the limit.
 
-    Languages with fewer than 50 held-out documents share the limit of all. Without trusted text every document is accepted."""
+    Every language has its own limit, moved towards the one of all by SHRINKAGE documents: the fewer it has, the further.
+    Without trusted text every document is accepted."""
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     counts = stage_table(count_grams(trusted, half), "counts")
     other = trusted.filter(half == 1).select("text", language().alias("lang"))
@@ -153,23 +156,23 @@ def fit(trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN)
     sums = scored.agg(F.sum("nll").alias("nll"), F.sum("n_symbols").alias("n")).first()
     grams = fit_grams(counts.groupBy("gram").agg(F.sum("n").alias("n")), _discounts)
     if not sums["n"]:
-        return QualityModel(grams, 0.0, {}, float("inf"))
+        return QualityModel(grams, 0.0, None, float("inf"))
     typical = sums["nll"] / sums["n"]
     limit = (F.percentile_approx(shrunk(typical), quantile, 100000) + float(np.log(margin))).alias("limit")
     overall = scored.agg(limit).first()["limit"]
-    rows = scored.groupBy("lang").agg(F.count("*").alias("n"), limit).filter("n >= 50").orderBy(F.desc("n"), "lang").limit(1000).collect()
-    return QualityModel(grams, typical, {r["lang"]: r["limit"] for r in rows}, overall)
+    own = scored.groupBy("lang").agg(F.count("*").alias("n"), limit)
+    mixed = (F.col("n") * F.col("limit") + F.lit(SHRINKAGE * overall)) / (F.col("n") + F.lit(SHRINKAGE))
+    return QualityModel(grams, typical, stage_table(own.select("lang", mixed.alias("limit")), "limits"), overall)
 
 
 def classify(documents: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
     """The columns `keep` with n_symbols, log_perplexity, limit and accepted. Empty and null texts have typical perplexity
     and so are accepted; unknown languages have the limit of all."""
     scored = score_grams(documents.withColumn("_lang", language()), model.grams, [*keep, "_lang"])
-    limit = F.lit(model.default)
-    if model.limits:
-        pairs = F.create_map(*(F.lit(x) for pair in model.limits.items() for x in pair))
-        limit = F.coalesce(pairs[F.col("_lang")], limit)
-    out = scored.withColumn("log_perplexity", shrunk(model.typical)).withColumn("limit", limit)
+    out = scored.withColumn("log_perplexity", shrunk(model.typical)).withColumn("limit", F.lit(model.default))
+    if model.limits is not None:
+        limits = model.limits.select(F.col("lang").alias("_lang"), F.col("limit").alias("_own"))
+        out = out.join(limits, "_lang", "left").withColumn("limit", F.coalesce("_own", "limit")).drop("_own")
     return out.withColumn("accepted", F.col("log_perplexity") <= F.col("limit")).drop("nll", "_lang")
 
 
