@@ -18,7 +18,7 @@ def artifacts(documents: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
     found = indicators.indicators(t)
     out = documents.select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.sha2(t.cast("binary"), 256).alias("content_sha256"),
+        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.sha2(t.cast("binary"), 256).alias("content_sha256"), (F.length("text") > 0).alias("has_text"),
         classify.detect_kind(t, F.lit(""))["kind"].alias("kind"), F.left(F.split_part(t, F.lit("\n"), F.lit(1)), F.lit(200)).alias("title"),
         found["cves"].alias("cves"), found["ips"].alias("ips"), found["domains"].alias("domains"), indicators.hashes(t).alias("hashes"),
         indicators.urls(t).alias("urls"), indicators.emails(t).alias("emails"), classify.explicit_techniques(t).alias("techniques"),

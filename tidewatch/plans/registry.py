@@ -649,4 +649,13 @@ def scroll_page(t) -> DataFrame:
 @query("SELECT doc_id, sha256(text) AS content_sha256, length(text) > 0 AS has_text FROM documents")
 def artifacts_pipeline(t) -> DataFrame:
     rows = artifacts(t("documents"))
-    return rows.select("doc_id", "content_sha256", (F.col("tokens") >= 0).alias("has_text"))
+    return rows.select("doc_id", F.when(F.col("has_text").isNotNull(), F.col("content_sha256")).alias("content_sha256"), "has_text")
+
+
+@query()
+def artifacts_columns(t) -> DataFrame:
+    """Every column of the plan, lists as their size and digest; so nothing of it can be pruned."""
+    rows = artifacts(t("documents"))
+    lists = [c for c, kind in rows.dtypes if kind.startswith("array")]
+    sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in lists]
+    return rows.select(*(F.sha2(F.array_join(c, "\n").cast("binary"), 256).alias(c) if c in lists else c for c in rows.columns), *sizes)
