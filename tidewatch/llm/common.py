@@ -50,10 +50,30 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes per core below which an input is dealt out anew, so that a few small files use all cores.
+SMALL_BYTES = 1 << 22
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out when the files give fewer partitions than there are cores; larger inputs keep their scan partitions."""
+    """Deals out the rows of small inputs, whose files may give fewer partitions than there are cores; others keep their scan
+    partitions. The size is the plan's estimate, so nothing runs for it."""
     cores = ship(df.sparkSession).sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= cores * SMALL_BYTES else df
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores added as it takes to differ from all columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -112,6 +132,12 @@ def sieve_of(bits: DataFrame) -> np.ndarray:
     return sieve
 
 
+def bits_table(spark: SparkSession, sieve: np.ndarray) -> DataFrame:
+    """word and mask of a sieve's words that are not 0: SIEVE_BITS / 64 rows at most, small enough to broadcast."""
+    at = np.flatnonzero(sieve)
+    return ship(spark).createDataFrame(pa.table({"word": pa.array(at, pa.int64()), "mask": pa.array(sieve[at], pa.int64())}))
+
+
 def sieve_hits(sieve: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (sieve[bits >> 6] >> (bits & 63) & 1).astype(bool)
 
@@ -136,3 +162,43 @@ def sieved(df: DataFrame, key: str, sieve: np.ndarray, other: np.ndarray | None
             yield batch.filter(pa.array(hit)).select(range(batch.num_columns - 1))
 
     return df.withColumn("_bit", id_bit(key)).mapInArrow(keep, df.schema)
+
+
+def without(rows: DataFrame, gone: DataFrame, on: list[str], once: bool = False) -> DataFrame:
+    """The rows whose columns `on` are in no row of gone (a staged table with these columns; null equals null). With once, of rows
+    that agree in `on` and may be in gone one stays: name the repeated ones in gone with a column `again` that is true.
+
+    A sieve of gone is joined as a table of SIEVE_BITS / 64 rows at most. Rows that it does not hit are in no row of gone for
+    certain, and pass unshuffled; the few others are joined by key. A full sieve only sends more rows to that join."""
+    word, mask, bit = free(rows, "word_", "mask_", "bit_")
+    number = lambda: F.pmod(F.xxhash64(*on), F.lit(SIEVE_BITS))
+    bits = gone.select(number().alias(bit))
+    words = bits.groupBy(F.shiftright(bit, 6).alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} & 63 as int)))").alias(mask))
+    marked = rows.withColumn(bit, number()).withColumn(word, F.shiftright(bit, 6)).join(F.broadcast(words), word, "left")
+    hit = F.expr(f"coalesce(shiftright({mask}, cast({bit} & 63 as int)) & 1, 0) = 1")
+    certain = marked.filter(~hit).select(*map(quoted, rows.columns))
+    maybe = marked.filter(hit).select(*map(quoted, rows.columns))
+    if once:
+        repeats = gone.filter("again").select(*on)
+        gone = gone.filter("not again")
+        maybe = _anti(maybe, gone, on)
+        single = _anti(maybe, repeats, on)
+        return certain.unionByName(single).unionByName(_semi(maybe, repeats, on).dropDuplicates(on))
+    return certain.unionByName(_anti(maybe, gone, on))
+
+
+def _matched(rows: DataFrame, other: DataFrame, on: list[str], how: str) -> DataFrame:
+    names = {c: f"{c}_of_other" for c in on}
+    other = other.select(*(F.col(c).alias(n) for c, n in names.items()))
+    condition = F.lit(True)
+    for c, n in names.items():
+        condition &= rows[quoted(c)].eqNullSafe(other[n])
+    return rows.join(other, condition, how)
+
+
+def _anti(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    return _matched(rows, other, on, "left_anti")
+
+
+def _semi(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    return _matched(rows, other, on, "left_semi")

@@ -11,9 +11,9 @@ from .common import drop_table, stage_table
 def _stars(pairs: DataFrame, small: bool) -> DataFrame:
     """Links each node's neighbours to the least of them and itself: the smaller ones (small star) or the larger ones (large star).
 
-    pairs has u and v. The least neighbour comes from an aggregation with partial results and goes back by a join on u, whose
-    skewed partitions Spark splits: no task gathers the neighbours of a node."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    pairs has u and v. The least neighbour comes from an aggregation with partial results, is written, and goes back by a join on
+    u. Both sides of that join are tables, so Spark splits its skewed partitions: no task gathers the neighbours of a node."""
+    least = stage_table(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     joined = pairs.join(least, "u")
     if small:
         out = joined.select(F.col("v").alias("a"), "m").unionByName(least.select(F.col("u").alias("a"), "m"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIEVE_BITS, sieve_of, spread, stage_table
+from .common import SIEVE_BITS, bits_table, free, sieve_of, spread, stage_table, without
 
 #: Two primes below 2^31 and a base for each: a fingerprint is a pair of residues, 62 bits.
 PRIMES = (2147483647, 2147483629)
@@ -65,7 +65,7 @@ def fingerprint(data: bytes) -> tuple[int, int, int]:
     return combine((*out, whole), (*tail, len(rest)))
 
 
-_MARKS = "doc_id long, fp long, n_bytes long, n_chars long, text_sha256 string"
+_MARKS = "doc_id long, text_hash long, fp long, n_bytes long, n_chars long, text_sha256 string"
 
 
 def normalised(text: str | None) -> bytes:
@@ -76,11 +76,11 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
     for batch in batches:
         rows = []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             f1, f2, n = fingerprint(data := normalised(text))
             rows.append((f1 << 31 | f2, n, len(text or ""), hashlib.sha256(data).hexdigest()))
         parts = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, parts, kinds)], names=["doc_id", "fp", "n_bytes", "n_chars", "text_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, parts, kinds)], names=["doc_id", "text_hash", "fp", "n_bytes", "n_chars", "text_sha256"])
 
 
 def _chunks(shared) -> Callable:
@@ -112,23 +112,53 @@ def _chunks(shared) -> Callable:
 
 
 def exact_groups(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chars, text_hash.
 
     Texts are equal when they are so without the characters of BLANK; null counts as empty. Of equal texts, the one with the
     most code points, then the smallest doc_id, stays. Groups form on fingerprint and length; where more than one document
     shares these, the texts are compared chunk by chunk: a group is one text only if for every chunk number the least and the
     greatest chunk are the same bytes. That is an aggregation with a partial sum in each task, so a group that holds a third
-    of all rows never meets in one task. Groups that fail are split by SHA-256. Rows that repeat a doc_id share their group's
-    keep_id; an empty table gives an empty result; columns other than doc_id and text are ignored."""
+    of all rows never meets in one task. Groups that fail are split by SHA-256. Groups go back to their members by a join of
+    a written table, whose hot keys Spark splits; a document that is alone in its group, as the sieve tells of most, has no part
+    in that join. Rows that repeat a doc_id share their group's keep_id and are each marked kept if it is their own; a row
+    without doc_id comes before all others of its group. An empty table gives an empty result; columns other than doc_id and
+    text are ignored; a text of any length is hashed and compared whole."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     marks = stage_table(spread(docs).mapInArrow(_marks, _MARKS), "marks")
-    shared = marks.groupBy("fp", "n_bytes").count().filter("count > 1")
-    sieve = spark.sparkContext.broadcast(sieve_of(shared.select(F.expr(f"fp % {SIEVE_BITS}").alias("bit"))))
-    parts = spread(docs.select("text")).mapInArrow(_chunks(sieve), "fp long, n_bytes long, chunk int, part binary")
+    best = F.min(F.struct((-F.col("n_chars")).alias("size"), "doc_id")).alias("best")
+    shared = stage_table(marks.groupBy("fp", "n_bytes").agg(F.count("*").alias("group_size"), best).filter("group_size > 1"), "shared")
+    bits = sieve_of(shared.select(F.expr(f"fp % {SIEVE_BITS}").alias("bit")))
+    parts = spread(docs.select("text")).mapInArrow(_chunks(spark.sparkContext.broadcast(bits)), "fp long, n_bytes long, chunk int, part binary")
     unlike = parts.groupBy("fp", "n_bytes", "chunk").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
     unlike = stage_table(unlike.select("fp", "n_bytes").distinct(), "unlike")
-    keys = ["fp", "n_bytes", "split"]
-    marks = marks.withColumn("split", F.lit("")) if unlike.isEmpty() else marks.join(unlike.withColumn("u", F.lit(True)), ["fp", "n_bytes"], "left").withColumn("split", F.when(F.col("u"), F.col("text_sha256")).otherwise("")).drop("u")
-    groups = marks.groupBy(*keys).agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("size"), "doc_id")).alias("best"))
-    return marks.join(groups, keys).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", F.expr("doc_id <=> best.doc_id").alias("kept"), "text_sha256", "n_chars")
+    keys = ["fp", "n_bytes"]
+    if not unlike.isEmpty():
+        keys = ["fp", "n_bytes", "split"]
+        marks = stage_table(marks.join(unlike.withColumn("u", F.lit(True)), ["fp", "n_bytes"], "left").withColumn("split", F.when(F.col("u"), F.col("text_sha256")).otherwise("")).drop("u"), "split")
+        shared = stage_table(marks.groupBy(*keys).agg(F.count("*").alias("group_size"), best).filter("group_size > 1"), "shared")
+    # rows that the sieve leaves out are alone for certain; the other ones are joined with the written table of groups
+    words = bits_table(spark, bits)
+    bit = F.expr(f"fp % {SIEVE_BITS}")
+    marked = marks.withColumn("word", F.shiftright(bit, 6)).join(F.broadcast(words), "word", "left")
+    hit = F.expr(f"coalesce(shiftright(mask, cast(fp % {SIEVE_BITS} & 63 as int)) & 1, 0) = 1")
+    alone = marked.filter(~hit).select(*marks.columns, F.lit(1).cast("long").alias("group_size"), F.col("doc_id").alias("keep_id"))
+    several = marked.filter(hit).select(*marks.columns).join(shared, keys, "left")
+    own = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    several = several.select(*marks.columns, F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), own.alias("keep_id"))
+    out = alone.unionByName(several)
+    return out.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256", "n_chars", "text_hash")
+
+
+def first_of_each(documents: DataFrame) -> DataFrame:
+    """The documents, all columns as they are, with one row of each group of equal texts: the one that exact_groups keeps. Of
+    rows that repeat both doc_id and text one stays too.
+
+    Rows that go are named by doc_id and the text's hash in a table that is joined through a sieve, so the texts of all others
+    are not shuffled."""
+    i, h = free(documents, "id_", "h_")
+    groups = stage_table(exact_groups(documents).filter("group_size > 1").select("doc_id", "kept", "text_hash"), "groups")
+    gone = groups.groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    gone = stage_table(gone.filter("not kept or n > 1").select(i, h, F.col("kept").alias("again")), "dropped")
+    marked = documents.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64("text")})
+    return without(marked, gone, [i, h], once=True).drop(i, h)

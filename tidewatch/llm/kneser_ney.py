@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, id_bit, row_runs, sieve_of, sieved, spread, stage_table, utf8_buffers
+from .common import drop_table, free, id_bit, quoted, sieve_of, sieved, spread, stage_table, without
 from .sharded_grams import GramModel, count_grams, fit_grams, score_grams
 
-#: Order of the model, in characters.
-ORDER = 4
-#: Symbols of the reduced alphabet. Tables have ALPHABET ** ORDER cells at most, whatever the corpus.
-ALPHABET = 44
 #: Characters of average text that are added to each document, so that short ones need strong evidence.
 PRIOR_CHARS = 120.0
 #: Quantile of trusted held-out perplexity, per language, and the factor on it above which a document is rejected.
@@ -26,106 +20,14 @@ MARGIN = 1.05
 SHRINKAGE = 10.0
 
 
-def _symbols() -> np.ndarray:
-    """Symbol of each UTF-8 byte; -1 for continuation bytes. 0 blank, 1 line end, 2-27 a to z, 28 other lead bytes of two,
-    29 of three or four, 30-32 capitals by vowel and the rest, 33 digits, then single marks and classes of marks."""
-    table = np.full(256, 43, np.int8)
-    table[0x80:0xC0] = -1
-    table[0xC0:0xE0] = 28
-    table[0xE0:] = 29
-    table[[0x20, 0x09]] = 0
-    table[[0x0A, 0x0D]] = 1
-    table[ord("a") : ord("z") + 1] = np.arange(2, 28)
-    table[ord("A") : ord("Z") + 1] = 31
-    table[[ord(c) for c in "AEIOU"]] = 30
-    table[ord("0") : ord("9") + 1] = 33
-    for symbol, marks in enumerate((".", ",", "!", "?", "'\"`", "-", ":;", "()[]{}<>", "*#%&$@^~", "|/\\_=+"), 34):
-        table[[ord(c) for c in marks]] = symbol
-    return table
-
-
-_TABLE = _symbols()
-
-
-def gram_codes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the ORDER-grams of the rows, each preceded by ORDER - 1 line ends, and the n + 1 offsets of the rows."""
-    base = bounds[0]
-    symbols = _TABLE[data[base : bounds[-1]]]
-    keep = symbols >= 0
-    starts = np.r_[0, np.cumsum(keep)][bounds - base]
-    symbols = symbols[keep].astype(np.int32)
-    rows, pad = len(bounds) - 1, ORDER - 1
-    padded = np.ones(len(symbols) + rows * pad, np.int32)
-    place = np.arange(len(symbols)) + np.repeat((np.arange(rows) + 1) * pad, np.diff(starts))
-    padded[place] = symbols
-    codes = np.zeros(len(symbols), np.int32)
-    for j in range(ORDER):
-        codes += padded[place - j] * np.int32(ALPHABET**j)
-    return codes, starts
-
-
-def count_codes(texts: DataFrame, part: Column | None = None) -> DataFrame:
-    """part, code, n of the ORDER-grams of all rows (column text), added up in each task first. part is 0 or 1 (default: 0)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = ALPHABET**ORDER
-        sums = np.zeros(2 * cells, np.int32)
-        for batch in batches:
-            data, bounds = utf8_buffers(batch.column(0))
-            parts = batch.column(1).to_numpy()
-            for low, high in row_runs(bounds):
-                codes, starts = gram_codes(data, bounds[low : high + 1])
-                if len(codes):
-                    found, n = np.unique(codes + np.repeat(parts[low:high], np.diff(starts)) * cells, return_counts=True)
-                    sums[found] += n.astype(np.int32)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at // cells, pa.int32()), pa.array(at % cells, pa.int64()), pa.array(sums[at], pa.int64())], names=["part", "code", "n"])
-
-    rows = texts.select("text", (F.lit(0) if part is None else part).cast("int").alias("part"))
-    return spread(rows).mapInArrow(run, "part int, code long, n long").groupBy("part", "code").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """The three discounts of modified Kneser-Ney from the counts of counts."""
-    n = {r["n"]: r["k"] for r in counts.filter("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
+def discounts(n: dict[int, int]) -> tuple[float, float, float]:
+    """The three discounts of modified Kneser-Ney from how many grams were counted once, twice, three and four times."""
     n1, n2, n3, n4 = (max(1, n.get(i, 0)) for i in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2)
     bound = lambda k, d: min(max(d, 0.05), k - 0.05)
     return bound(1, 1 - 2 * y * n2 / n1), bound(2, 2 - 3 * y * n3 / n2), bound(3, 3 - 4 * y * n4 / n3)
 
 
-def kneser_ney(counts: DataFrame) -> np.ndarray:
-    """Log probabilities of all ALPHABET ** ORDER grams from the counts of those seen.
-
-    For each order, from 1 up, a join of the counts by context with the totals of their contexts and of the next lower order
-    by suffix gives the interpolated probability; both sides are dealt by key. Lower orders count the distinct symbols that
-    precede. The driver receives the seen grams and contexts only, and fills in the others from the weight of their context."""
-    spark = counts.sparkSession
-    tables = {ORDER: counts.groupBy("code").agg(F.sum("n").alias("n"))}
-    for order in range(ORDER - 1, 0, -1):
-        tables[order] = tables[order + 1].groupBy((F.col("code") % ALPHABET**order).alias("code")).agg(F.count("*").alias("n"))
-    dense, lower = np.full(1, 1.0 / ALPHABET), None
-    for order in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(tables[order])
-        table = tables[order].withColumn("context", F.expr(f"code div {ALPHABET}"))
-        few = lambda k: F.count(F.when(F.col("n") == k, 1))
-        contexts = table.groupBy("context").agg(
-            F.sum("n").alias("total"), ((few(1) * d1 + few(2) * d2 + F.count(F.when(F.col("n") >= 3, 1)) * d3) / F.sum("n")).alias("weight")
-        )
-        discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        joined = table.join(contexts, "context").withColumn("suffix", F.col("code") % ALPHABET ** (order - 1))
-        joined = joined.withColumn("lower", F.lit(1.0 / ALPHABET)) if lower is None else joined.join(lower, "suffix")
-        rows = gathered(joined.select("code", "context", "weight", ((F.col("n") - discount) / F.col("total") + F.col("weight") * F.col("lower")).alias("p")))
-        if order < ORDER:
-            lower = spark.createDataFrame(pa.table({"suffix": pa.array(rows["code"], pa.int64()), "lower": pa.array(rows["p"], pa.float64())}))
-        weights = np.ones(ALPHABET ** (order - 1))
-        weights[rows["context"].astype(int)] = rows["weight"]
-        grid = np.arange(ALPHABET**order)
-        dense = weights[grid // ALPHABET] * dense[grid % ALPHABET ** (order - 1)]
-        dense[rows["code"].astype(int)] = rows["p"]
-    return np.log(np.maximum(dense, 1e-12)).astype(np.float32)
-
-
 @dataclass
 class QualityModel:
     grams: GramModel
@@ -152,9 +54,12 @@ def fit(trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN)
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     counts = stage_table(count_grams(trusted, half), "counts")
     other = trusted.filter(half == 1).select("text", language().alias("lang"))
-    scored = stage_table(score_grams(other, fit_grams(counts.filter("part = 0"), _discounts), ["lang"]), "held-out")
+    of_half = fit_grams(counts.filter("part = 0"), discounts)
+    scored = stage_table(score_grams(other, of_half, ["lang"]), "held-out")
+    drop_table(of_half.table)
+    grams = fit_grams(counts.groupBy("gram").agg(F.sum("n").alias("n")), discounts)
+    drop_table(counts)
     sums = scored.agg(F.sum("nll").alias("nll"), F.sum("n_symbols").alias("n")).first()
-    grams = fit_grams(counts.groupBy("gram").agg(F.sum("n").alias("n")), _discounts)
     if not sums["n"]:
         return QualityModel(grams, 0.0, None, float("inf"))
     typical = sums["nll"] / sums["n"]
@@ -166,14 +71,30 @@ def fit(trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN)
 
 
 def classify(documents: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
-    """The columns `keep` with n_symbols, log_perplexity, limit and accepted. Empty and null texts have typical perplexity
-    and so are accepted; unknown languages have the limit of all."""
-    scored = score_grams(documents.withColumn("_lang", language()), model.grams, [*keep, "_lang"])
+    """The columns `keep` with n_symbols, log_perplexity, limit and accepted, which replace columns of these names.
+
+    Empty and null texts have typical perplexity and so are accepted; unknown and null languages have the limit of all. A null
+    doc_id and rows that repeat one are scored like any other row. An empty table gives an empty result. Texts of any length
+    are scored whole; one that is longer than a run is a run of its own."""
+    keep = [c for c in keep if c not in ("n_symbols", "nll", "log_perplexity", "limit", "accepted")]
+    lang, own = free(documents, "lang_", "own_")
+    scored = score_grams(documents.select(*(quoted(c) for c in dict.fromkeys([*keep, "text"])), language().alias(lang)), model.grams, [*keep, lang])
     out = scored.withColumn("log_perplexity", shrunk(model.typical)).withColumn("limit", F.lit(model.default))
     if model.limits is not None:
-        limits = model.limits.select(F.col("lang").alias("_lang"), F.col("limit").alias("_own"))
-        out = out.join(limits, "_lang", "left").withColumn("limit", F.coalesce("_own", "limit")).drop("_own")
-    return out.withColumn("accepted", F.col("log_perplexity") <= F.col("limit")).drop("nll", "_lang")
+        limits = model.limits.select(F.col("lang").alias(lang), F.col("limit").alias(own))
+        out = out.join(limits, lang, "left").withColumn("limit", F.coalesce(own, "limit")).drop(own)
+    return out.withColumn("accepted", F.col("log_perplexity") <= F.col("limit")).drop("nll", lang)
+
+
+def accepted(documents: DataFrame, model: QualityModel) -> DataFrame:
+    """The documents, all columns as they are, without those that classify rejects.
+
+    The decision rests on text and language alone. So hashes of these name the rejected rows, and texts are neither sent back
+    from workers nor shuffled, but for the few that the sieve of rejected ones hits."""
+    names = free(documents, "h1_", "h2_", "of_")
+    marked = documents.withColumns(dict(zip(names, (F.xxhash64("text"), F.xxhash64(F.lit(7), "text"), language()), strict=True)))
+    gone = classify(marked.select(*names, "text", "lang"), model, names).filter("not accepted").select(*names).distinct()
+    return without(marked, stage_table(gone, "rejected"), names).drop(*names)
 
 
 def trusted_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bit, mix64, row_runs, sieve_of, sieved, spread, stage_table, utf8_buffers
+from .common import free, id_bit, mix64, row_runs, sieve_of, sieved, spread, stage_table, utf8_buffers, without
 from .components import components
 
 WORDS = 5
@@ -26,6 +26,8 @@ BATCH = 16
 MISS = 1e-7
 #: Members of a bucket that one task compares with each other; larger buckets are cut into pairs of blocks.
 BLOCK = 512
+#: Bytes of shingle sets that a block holds on average: buckets of long texts are cut into more blocks.
+BLOCK_BYTES = 1 << 23
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * _ODD) | np.uint64(1)
@@ -304,7 +306,8 @@ def near_groups(documents: DataFrame) -> DataFrame:
     2. Every member of a band's bucket is compared with the bucket's smallest member: rows grow with the members, not with
        their pairs. Pairs that survive the signature batches are confirmed on full sets.
     3. Buckets whose members are then in several components are compared member by member, between components only, in
-       cells of two blocks of BLOCK members, which hold the members' sets; a cell emits fewer links than it has members.
+       cells of two blocks of BLOCK members (fewer if their sets pass BLOCK_BYTES), which hold the members' sets; a cell emits
+       fewer links than it has members.
     4. Components are contracted in tables of the shared folder.
 
     Rows without doc_id are left out; rows that repeat a doc_id have the component of that id. Columns other than
@@ -313,8 +316,8 @@ def near_groups(documents: DataFrame) -> DataFrame:
     sketches = stage_table(spread(docs).mapInArrow(_sketch, _SKETCH), "sketches")
     classes = sketches.filter("digest is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = stage_table(sketches.select("doc_id", "n_shingles", "digest").join(classes, ["digest", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    reps = stage_table(sketches.filter("digest is not null").join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "signature", "keys"), "representatives")
-    banded = reps.select("doc_id", F.explode("keys").alias("key"))
+    reps = stage_table(sketches.filter("digest is not null").join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "signature", "keys"), "representatives")
+    banded = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
     buckets = stage_table(banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = stage_table(banded.join(buckets, "key"), "members")
     side = lambda a: reps.select(F.col("doc_id").alias(a), F.col("signature").alias(f"s{a}"))
@@ -323,12 +326,12 @@ def near_groups(documents: DataFrame) -> DataFrame:
     links = stage_table(confirmed(stage_table(stars, "stars"), docs), "links")
     joined = stage_table(components(links), "components")
 
-    several = members.filter("n > 2").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "n", "leader", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    several = members.filter("n > 2").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "n", "n_shingles", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     several = stage_table(several, "several")
-    lead = several.filter("doc_id = leader").select("key", F.col("component").alias("lead"))
-    outside = several.join(lead, "key").filter("component <> lead").select("key").distinct()  # one outsider and the leader's component only: all its pairs but one were not compared
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = several.join(outside, "key", "left_semi").select("key", "doc_id", "component", blocks.alias("blocks")).join(reps.select("doc_id", "signature"), "doc_id")
+    outside = several.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n_shingles").alias("total")).filter("low <> high")
+    outside = stage_table(outside.select(F.col("key").alias("outer"), "total"), "outside")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(8 * F.col("total") / BLOCK_BYTES)).cast("int")
+    rest = several.join(outside, F.col("key") == F.col("outer")).select("key", "doc_id", "component", blocks.alias("blocks")).join(reps.select("doc_id", "signature"), "doc_id")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = stage_table(rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "component", "signature"), "rest")
     cells = rest.join(shingles_of(rest.select("doc_id").distinct(), docs), "doc_id").select("key", "i", "j", "side", "doc_id", "component", "signature", "shingles")
@@ -338,3 +341,13 @@ def near_groups(documents: DataFrame) -> DataFrame:
     out = member.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def first_of_each(documents: DataFrame) -> DataFrame:
+    """The documents, all columns as they are, with one document of each group of near duplicates: the smallest doc_id.
+
+    Rows without doc_id cannot be linked and stay; rows that repeat a doc_id stay or go together. The ids that go are joined
+    through a sieve, so the texts of all others are not shuffled."""
+    (i,) = free(documents, "id_")
+    gone = stage_table(near_groups(documents).filter("not kept").select(F.col("doc_id").alias(i)).distinct(), "dropped")
+    return without(documents.withColumn(i, F.col("doc_id").cast("long")), gone, [i]).drop(i)

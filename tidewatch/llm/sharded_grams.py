@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, mix64, row_runs, spread, stage_table, utf8_buffers
+from .common import drop_table, free, gathered, mix64, quoted, row_runs, spread, stage_table, utf8_buffers
 
 #: Order of the model, in code points. Its tables have a row per gram seen and grow with the text.
 ORDER = 6
@@ -20,6 +20,9 @@ SYMBOLS = 0x110000
 #: Rows of the tables that each worker also holds: the most frequent ones, whose many occurrences need no shuffle then.
 #: It changes where a gram is looked up, never what is found; all other grams are joined by key.
 CACHE_ROWS = 1 << 19
+#: Binary logarithm of the bits of the sieve that says of a gram that the model has no row of it (8 MiB, whatever the input). When
+#: it fills up, more grams are looked up by key, and nothing else changes.
+SIEVE_LOG = 26
 #: U+0000 is counted as this noncharacter, since numpy strings end at it.
 _NUL = 0x10FFFF
 _FACTORS = mix64(np.arange(1, ORDER + 1)) | np.uint64(1)
@@ -53,13 +56,21 @@ def _keys(windows: np.ndarray) -> np.ndarray:
     return mix64(key)
 
 
-def _distinct(padded: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct grams that end at these places, as a matrix, and which of them each place has."""
+def _distinct(padded: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys (sorted) of the distinct grams that end at these places, a place of each, and which of them each place has."""
     key = np.zeros(len(ends), np.uint64)
     for j in range(ORDER):
         key += padded[ends - (ORDER - 1 - j)] * _FACTORS[j]
-    _, index, which = np.unique(key, return_index=True, return_inverse=True)
-    return padded[ends[index][:, None] + np.arange(1 - ORDER, 1)], which
+    order = np.argsort(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return key[new], ends[order[new]], which
+
+
+def _windows(padded: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return padded[ends[:, None] + np.arange(1 - ORDER, 1)]
 
 
 def _strings(windows: np.ndarray) -> pa.Array:
@@ -77,9 +88,9 @@ def count_grams(texts: DataFrame, part: Column | None = None) -> DataFrame:
                 padded, starts = code_points(data, bounds[low : high + 1])
                 ends, mine = _ends(starts), np.repeat(parts[low:high], np.diff(starts))
                 for p in np.unique(mine):
-                    windows, which = _distinct(padded, ends[mine == p])
-                    n = np.bincount(which, minlength=len(windows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), p, np.int32)), _strings(windows), pa.array(n, pa.int64())], names=["part", "gram", "n"])
+                    _, at, which = _distinct(padded, ends[mine == p])
+                    n = np.bincount(which, minlength=len(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), p, np.int32)), _strings(_windows(padded, at)), pa.array(n, pa.int64())], names=["part", "gram", "n"])
 
     rows = texts.select("text", (F.lit(0) if part is None else part).cast("int").alias("part"))
     return spread(rows).mapInArrow(run, "part int, gram string, n long").groupBy("part", "gram").agg(F.sum("n").alias("n"))
@@ -90,6 +101,17 @@ class GramModel:
     table: DataFrame  # gram, delta, backoff of the grams of all orders
     base: float  # log probability of a symbol never seen, without context
     cache: tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted keys, delta and backoff of the most frequent rows
+    known: np.ndarray  # sieve of the keys of all rows
+
+
+def _string_keys(grams: np.ndarray) -> np.ndarray:
+    """Keys of grams of any orders, given as strings."""
+    lengths = np.fromiter(map(len, grams), np.int64, len(grams))
+    keys = np.empty(len(grams), np.uint64)
+    for k in np.unique(lengths).tolist():
+        of = lengths == k
+        keys[of] = _keys(grams[of].astype(f"<U{k}").view(np.uint32).reshape(-1, k))
+    return keys
 
 
 def _cache(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,55 +123,120 @@ def _cache(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least -= 1
         room -= sizes.get(least, 0)
     rows = gathered(table.filter(level >= least).select("gram", "delta", "backoff"))
-    keys, delta, backoff = [np.empty(0, np.uint64)], [np.empty(0)], [np.empty(0)]
-    lengths = np.array([len(g) for g in rows["gram"]], np.int64)
-    for k in range(1, ORDER + 1):
-        of = lengths == k
-        keys.append(_keys(rows["gram"][of].astype(f"<U{k}").view(np.uint32).reshape(-1, k)))
-        delta.append(rows["delta"][of])
-        backoff.append(rows["backoff"][of])
-    keys, delta, backoff = np.concatenate(keys), np.concatenate(delta), np.concatenate(backoff)
+    keys = _string_keys(rows["gram"])
     order = np.argsort(keys)
-    return keys[order], delta[order], backoff[order]
+    return keys[order], rows["delta"][order], rows["backoff"][order]
+
+
+def _sieve_bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    shift = np.uint64(64 - SIEVE_LOG)
+    return ((keys >> shift).astype(np.int64), ((keys * _FACTORS[0]) >> shift).astype(np.int64))
+
+
+def _known(table: DataFrame) -> np.ndarray:
+    """A sieve of the keys of all rows, two bits each; the driver receives 2 ** SIEVE_LOG / 64 words at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.concatenate(_sieve_bits(_string_keys(batch.column(0).to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.int64(1) << (bits & 63))], names=["word", "mask"])
+
+    words = gathered(table.select("gram").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")))
+    sieve = np.zeros(1 << SIEVE_LOG - 6, np.int64)
+    sieve[words["word"].astype(np.int64)] = words["mask"]
+    return sieve
 
 
 def fit_grams(counts: DataFrame, discounts) -> GramModel:
     """The model of counted ORDER-grams. Lower orders count the distinct symbols that precede.
 
-    For each order, from 1 up, its grams are joined with the totals of their contexts and with the next lower order by suffix.
-    delta is what a gram's log probability is above that of its suffix with the weight of the context, backoff is the log
-    weight of a gram as a context. So the log probability of a symbol is base, plus delta of the grams of all orders that end
-    there, plus backoff of their contexts, where grams never seen add nothing."""
-    tables = {ORDER: counts.select("gram", "n")}
+    For each order, from 1 up, the totals of its contexts come from a window over each context, which has as many rows as there
+    are symbols at most, and the next lower order from a join by suffix. delta is what a gram's log probability is above that of
+    its suffix with the weight of the context, backoff is the log weight of a gram as a context. So the log probability of a
+    symbol is base, plus delta of the grams of all orders that end there, plus backoff of their contexts, where grams never seen
+    add nothing. Tables that only lead to the model are deleted."""
+    tables = {ORDER: stage_table(counts.select("gram", "n"), f"order-{ORDER}")}
     for order in range(ORDER - 1, 0, -1):
         tables[order] = stage_table(tables[order + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), f"order-{order}")
-    parts, base, lower = [], float(-np.log(SYMBOLS)), None
+    few = None
+    for order, table in tables.items():
+        some = table.filter("n <= 4").groupBy(F.lit(order).alias("order"), "n").agg(F.count("*").alias("k"))
+        few = some if few is None else few.unionByName(some)
+    found: dict[int, dict[int, int]] = {order: {} for order in tables}
+    for r in few.collect():
+        found[r["order"]][r["n"]] = r["k"]
+    staged, base, lower = {}, float(-np.log(SYMBOLS)), None
     for order in range(1, ORDER + 1):
-        d1, d2, d3 = discounts(tables[order])
-        few = lambda k: F.count(F.when(F.col("n") == k, 1))
-        table = tables[order].withColumn("context", F.expr(f"left(gram, {order - 1})"))
-        contexts = table.groupBy("context").agg(
-            F.sum("n").alias("total"), ((few(1) * d1 + few(2) * d2 + F.count(F.when(F.col("n") >= 3, 1)) * d3) / F.sum("n")).alias("weight")
-        )
-        contexts = stage_table(contexts, f"contexts-{order}")
+        d1, d2, d3 = discounts(found[order])
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        joined = table.join(contexts, "context")
-        if lower is None:
-            joined = joined.withColumn("lower", F.lit(1.0 / SYMBOLS))
-            first = contexts.first()
-            base += float(np.log(first["weight"])) if first else 0.0
-        else:
-            joined = joined.withColumn("suffix", F.expr("substring(gram, 2)")).join(lower, "suffix")
-            parts.append(contexts.select(F.col("context").alias("gram"), F.lit(0.0).alias("delta"), F.log("weight").alias("backoff"), F.lit(0).cast("long").alias("n")))
-        p = (F.col("n") - discount) / F.col("total") + F.col("weight") * F.col("lower")
-        staged = stage_table(joined.select("gram", "n", p.alias("p"), F.log(p / (F.col("weight") * F.col("lower"))).alias("delta")), f"grams-{order}")
-        lower = staged.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-        parts.append(staged.select("gram", "delta", F.lit(0.0).alias("backoff"), "n"))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+        table = tables[order].withColumns({"context": F.expr(f"left(gram, {order - 1})"), "suffix": F.expr("substring(gram, 2)"), "discount": discount})
+        inside = Window.partitionBy("context")
+        table = table.withColumns({"total": F.sum("n").over(inside), "weight": F.sum("discount").over(inside), "first": F.row_number().over(inside.orderBy("gram")) == 1})
+        table = table.withColumn("weight", F.col("weight") / F.col("total"))
+        table = table.withColumn("lower", F.lit(1.0 / SYMBOLS)) if lower is None else table.join(lower, "suffix")
+        p = (F.col("n") - F.col("discount")) / F.col("total") + F.col("weight") * F.col("lower")
+        staged[order] = stage_table(table.select("gram", "n", "first", "weight", p.alias("p"), F.log(p / (F.col("weight") * F.col("lower"))).alias("delta")), f"grams-{order}")
+        lower = staged[order].select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+        drop_table(tables[order])
+    first = staged[1].first()
+    if first:
+        base += float(np.log(first["weight"]))
+    rows = None
+    for order, table in staged.items():
+        own = table.select("gram", "delta", F.lit(0.0).alias("backoff"), "n")
+        if order > 1:
+            contexts = table.filter("first").select(F.expr(f"left(gram, {order - 1})").alias("gram"), F.lit(0.0).alias("delta"), F.log("weight").alias("backoff"), F.lit(0).cast("long").alias("n"))
+            own = own.unionByName(contexts)
+        rows = own if rows is None else rows.unionByName(own)
     table = stage_table(rows.groupBy("gram").agg(F.sum("delta").alias("delta"), F.sum("backoff").alias("backoff"), F.sum("n").alias("n")), "model")
-    return GramModel(table.select("gram", "delta", "backoff"), base, _cache(table))
+    for order in staged:
+        drop_table(staged[order])
+    return GramModel(table.select("gram", "delta", "backoff"), base, _cache(table), _known(table))
+
+
+class _Resolver:
+    """Log probabilities of grams from what a worker holds: the cache, the sieve and the results of grams met before."""
+
+    def __init__(self, cache: tuple[np.ndarray, np.ndarray, np.ndarray], known: np.ndarray, base: float) -> None:
+        self.cache, self.known, self.base = cache, known, base
+        self.keys, self.logp = np.empty(0, np.uint64), np.empty(0)
+
+    def _part(self, windows: np.ndarray, column: int) -> np.ndarray:
+        """What the cache has for grams; 0 where the sieve says that the model has no row, NaN where it may have one."""
+        keys = _keys(windows)
+        out = np.full(len(keys), np.nan)
+        if len(self.cache[0]):
+            at = np.minimum(np.searchsorted(self.cache[0], keys), len(self.cache[0]) - 1)
+            hit = self.cache[0][at] == keys
+            out[hit] = self.cache[column][at[hit]]
+        else:
+            hit = np.zeros(len(keys), bool)
+        miss = np.flatnonzero(~hit)
+        one, two = _sieve_bits(keys[miss])
+        maybe = (self.known[one >> 6] >> (one & 63) & self.known[two >> 6] >> (two & 63) & 1).astype(bool)
+        out[miss[~maybe]] = 0.0
+        return out
+
+    def resolve(self, keys: np.ndarray, padded: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log probabilities of distinct grams (sorted keys, and a place of each), NaN where the sharded table must be asked."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        seen = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        logp = np.empty(len(keys))
+        logp[seen] = self.logp[at[seen]] if len(self.keys) else 0.0
+        new = np.flatnonzero(~seen)
+        windows = _windows(padded, ends[new])
+        sums = np.full(len(new), self.base)
+        for k in range(1, ORDER + 1):
+            sums += self._part(windows[:, ORDER - k :], 1)
+            if k < ORDER:
+                sums += self._part(windows[:, ORDER - 1 - k : ORDER - 1], 2)
+        logp[new] = sums
+        if len(self.keys) + len(new) > CACHE_ROWS:
+            self.keys, self.logp = keys[:CACHE_ROWS], logp[:CACHE_ROWS]
+        elif len(new):
+            where = np.searchsorted(self.keys, keys[new])
+            self.keys, self.logp = np.insert(self.keys, where, keys[new]), np.insert(self.logp, where, sums)
+        return logp
 
 
 def _sums(model: GramModel, grams: DataFrame) -> DataFrame:
@@ -164,53 +251,42 @@ def _sums(model: GramModel, grams: DataFrame) -> DataFrame:
 def score_grams(documents: DataFrame, model: GramModel, keep: list[str]) -> DataFrame:
     """The columns `keep` with n_symbols and nll, the sum of negative log probabilities of the whole text (null: 0 and 0).
 
-    A task adds up the grams whose parts are all held by the workers, and returns the other ones of each document with their
-    counts: these are joined by key with the sharded model and added to their documents."""
-    shared, base = documents.sparkSession.sparkContext.broadcast(model.cache), model.base
-    rows = documents.select(*keep, F.col("text").alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    schema = ", ".join([*fields, "n_symbols long", "nll double", "_row long", "_rest array<struct<gram:string,n:long>>"])
-
-    def lookup(windows: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
-        keys = _keys(windows)
-        at = np.minimum(np.searchsorted(shared.value[0], keys), max(0, len(shared.value[0]) - 1))
-        hit = shared.value[0][at] == keys if len(shared.value[0]) else np.zeros(len(keys), bool)
-        return hit, np.where(hit, shared.value[column][at], 0.0) if len(shared.value[0]) else np.zeros(len(keys))
+    A task adds up the grams that it can resolve from what workers hold, and returns the other ones of each document with their
+    counts: these are joined by key with the sharded model and added to their documents. `keep` must not name n_symbols or nll;
+    texts are sent one way only and are not shuffled, so keep ids or hashes, not texts."""
+    shared, base = documents.sparkSession.sparkContext.broadcast((model.cache, model.known)), model.base
+    text, row, other, more = free(documents, "text_", "row_", "rest_", "more_")
+    rows = documents.select(*(quoted(c) for c in keep), F.col("text").alias(text))
+    fields = [f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    schema = ", ".join([*fields, "n_symbols long", "nll double", f"{row} long", f"{other} array<struct<gram:string,n:long>>"])
+    names = [*keep, "n_symbols", "nll", row, other]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         kind = pa.struct([("gram", pa.string()), ("n", pa.int64())])
+        resolver = _Resolver(*shared.value, base)
         for batch in batches:
             data, bounds = utf8_buffers(batch.column(batch.num_columns - 1))
             for low, high in row_runs(bounds):
                 padded, starts = code_points(data, bounds[low : high + 1])
                 size, count = np.diff(starts), high - low
-                windows, which = _distinct(padded, _ends(starts))
-                logp, whole = np.full(len(windows), base), np.ones(len(windows), bool)
-                for k in range(1, ORDER + 1):
-                    hit, value = lookup(windows[:, ORDER - k :], 1)
-                    whole &= hit
-                    logp += value
-                    if k < ORDER:
-                        hit, value = lookup(windows[:, ORDER - 1 - k : ORDER - 1], 2)
-                        whole &= hit
-                        logp += value
-                logp[~whole] = base
+                keys, ends, which = _distinct(padded, _ends(starts))
+                logp = resolver.resolve(keys, padded, ends)
+                open_ = np.isnan(logp)
+                logp[open_] = base
                 nll = np.diff(np.r_[0.0, np.cumsum(-logp[which])][starts])
-                other = ~whole[which]
-                pair, n = np.unique(np.repeat(np.arange(count), size)[other] * np.int64(len(windows) + 1) + which[other], return_counts=True)
-                row, gram = pair // (len(windows) + 1), pair % (len(windows) + 1)
-                offsets = np.searchsorted(row, np.arange(count + 1)).astype(np.int32)
-                structs = pa.StructArray.from_arrays([_strings(windows).take(pa.array(gram)), pa.array(n, pa.int64())], fields=list(kind))
-                rest = pa.ListArray.from_arrays(pa.array(offsets), structs)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(low, count).columns[:-1], pa.array(size.astype(np.int64)), pa.array(nll), pa.array(number + np.arange(count)), rest], names=[*keep, "n_symbols", "nll", "_row", "_rest"]
-                )
+                left = np.flatnonzero(open_[which])
+                pair, n = np.unique(np.searchsorted(starts, left, "right").astype(np.int64) * (len(keys) + 1) + which[left], return_counts=True)
+                of, gram = pair // (len(keys) + 1) - 1, pair % (len(keys) + 1)
+                offsets = np.searchsorted(of, np.arange(count + 1)).astype(np.int32)
+                structs = pa.StructArray.from_arrays([_strings(_windows(padded, ends[gram])), pa.array(n, pa.int64())], fields=list(kind))
+                found = [pa.array(size.astype(np.int64)), pa.array(nll), pa.array(number + np.arange(count)), pa.ListArray.from_arrays(pa.array(offsets), structs)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, count).columns[:-1], *found], names=names)
                 number += count
 
     scored = stage_table(spread(rows).mapInArrow(run, schema), "scored")
-    rest = scored.filter("size(_rest) > 0").select("_row", F.explode("_rest").alias("x")).select("_row", "x.gram", "x.n")
+    rest = scored.filter(f"size({other}) > 0").select(row, F.explode(other).alias("x")).select(row, "x.gram", "x.n")
     sums = stage_table(_sums(model, rest.select("gram").distinct()), "sums")
-    more = rest.join(sums, "gram").groupBy("_row").agg(F.sum(F.col("n") * F.col("logp")).alias("_more"))
-    joined = scored.drop("_rest").join(more, "_row", "left")
-    return joined.withColumn("nll", F.col("nll") - F.coalesce("_more", F.lit(0.0))).drop("_row", "_more")
+    added = rest.join(sums, "gram").groupBy(row).agg(F.sum(F.col("n") * F.col("logp")).alias(more))
+    joined = scored.drop(other).join(added, row, "left")
+    return joined.withColumn("nll", F.col("nll") - F.coalesce(more, F.lit(0.0))).drop(row, more)
