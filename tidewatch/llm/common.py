@@ -18,6 +18,8 @@ from ..session import ship
 SIEVE_BITS = 1 << 23
 #: Bytes of text handled at once by the numpy kernels; longer documents form a run of their own.
 RUN_BYTES = 1 << 21
+#: Spark's setting that deletes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,10 +35,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there and lost executors lose nothing."""
+    """Writes df as Parquet into the shared folder and reads it back: lineage ends there and lost executors lose nothing. Shuffle files
+    of the write go when the table is there."""
     spark = ship(df.sparkSession)
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -54,10 +54,10 @@ def fit(trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN)
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     counts = stage_table(count_grams(trusted, half), "counts")
     other = trusted.filter(half == 1).select("text", language().alias("lang"))
-    of_half = fit_grams(counts.filter("part = 0"), discounts)
+    of_half = fit_grams(counts.filter("n0 > 0").select("gram", F.col("n0").alias("n")), discounts)
     scored = stage_table(score_grams(other, of_half, ["lang"]), "held-out")
     drop_table(of_half.table)
-    grams = fit_grams(counts.groupBy("gram").agg(F.sum("n").alias("n")), discounts)
+    grams = fit_grams(counts.select("gram", (F.col("n0") + F.col("n1")).alias("n")), discounts)
     drop_table(counts)
     sums = scored.agg(F.sum("nll").alias("nll"), F.sum("n_symbols").alias("n")).first()
     if not sums["n"]:

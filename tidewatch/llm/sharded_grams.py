@@ -19,7 +19,7 @@ ORDER = 6
 SYMBOLS = 0x110000
 #: Rows of the tables that each worker also holds: the most frequent ones, whose many occurrences need no shuffle then.
 #: It changes where a gram is looked up, never what is found; all other grams are joined by key.
-CACHE_ROWS = 1 << 19
+CACHE_ROWS = 1 << 21
 #: Binary logarithm of the bits of the sieve that says of a gram that the model has no row of it (8 MiB, whatever the input). When
 #: it fills up, more grams are looked up by key, and nothing else changes.
 SIEVE_LOG = 26
@@ -58,15 +58,28 @@ def _keys(windows: np.ndarray) -> np.ndarray:
 
 def _distinct(padded: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The keys (sorted) of the distinct grams that end at these places, a place of each, and which of them each place has."""
-    key = np.zeros(len(ends), np.uint64)
+    if not len(ends):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    n = len(padded) - ORDER + 1
+    rolling = np.zeros(n, np.uint64)
     for j in range(ORDER):
-        key += padded[ends - (ORDER - 1 - j)] * _FACTORS[j]
-    order = np.argsort(key)
-    key = key[order]
-    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
+        rolling += padded[j : j + n] * _FACTORS[j]
+    key = mix64(rolling[ends - ORDER + 1])
+    # places are packed into the low bits, so that one plain sort gives both; should two keys differ in those bits only, an
+    # indirect sort decides
+    low = np.uint64((1 << len(key).bit_length()) - 1)
+    packed = (key & ~low) | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    order = (packed & low).astype(np.int64)
+    sorted_ = key[order]
+    new = np.r_[True, sorted_[1:] != sorted_[:-1]]
+    if (new[1:] & ((packed[1:] & ~low) == (packed[:-1] & ~low))).any():
+        order = np.argsort(key, kind="stable")
+        sorted_ = key[order]
+        new = np.r_[True, sorted_[1:] != sorted_[:-1]]
     which = np.empty(len(key), np.int64)
     which[order] = np.cumsum(new) - 1
-    return key[new], ends[order[new]], which
+    return sorted_[new], ends[order[new]], which
 
 
 def _windows(padded: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -78,7 +91,8 @@ def _strings(windows: np.ndarray) -> pa.Array:
 
 
 def count_grams(texts: DataFrame, part: Column | None = None) -> DataFrame:
-    """part, gram, n of the ORDER-grams of all rows (column text), added up in each task first. part is 0 or 1 (default: 0)."""
+    """gram, n0, n1 of the ORDER-grams of all rows (column text): counts in rows whose part is 0 (default: all) and 1. They are added
+    up in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,14 +100,13 @@ def count_grams(texts: DataFrame, part: Column | None = None) -> DataFrame:
             parts = batch.column(1).to_numpy()
             for low, high in row_runs(bounds):
                 padded, starts = code_points(data, bounds[low : high + 1])
-                ends, mine = _ends(starts), np.repeat(parts[low:high], np.diff(starts))
-                for p in np.unique(mine):
-                    _, at, which = _distinct(padded, ends[mine == p])
-                    n = np.bincount(which, minlength=len(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), p, np.int32)), _strings(_windows(padded, at)), pa.array(n, pa.int64())], names=["part", "gram", "n"])
+                _, at, which = _distinct(padded, _ends(starts))
+                n = np.bincount(which, minlength=len(at))
+                one = np.bincount(which, np.repeat(parts[low:high], np.diff(starts)), len(at)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([_strings(_windows(padded, at)), pa.array(n - one, pa.int64()), pa.array(one, pa.int64())], names=["gram", "n0", "n1"])
 
     rows = texts.select("text", (F.lit(0) if part is None else part).cast("int").alias("part"))
-    return spread(rows).mapInArrow(run, "part int, gram string, n long").groupBy("part", "gram").agg(F.sum("n").alias("n"))
+    return spread(rows).mapInArrow(run, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 @dataclass
@@ -115,17 +128,25 @@ def _string_keys(grams: np.ndarray) -> np.ndarray:
 
 
 def _cache(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the table down to the power of two of counts at which CACHE_ROWS of them would be passed."""
+    """CACHE_ROWS rows of the table or a few less: those of the greatest counts, and of the last class of counts (by powers of two)
+    a share by hash. Keys are made in tasks."""
     level = F.floor(F.log2(F.col("n") + 1))
     sizes = {r["level"]: r["k"] for r in table.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()}
     least, room = max(sizes, default=0) + 1, CACHE_ROWS
     while least > 0 and sizes.get(least - 1, 0) <= room:
         least -= 1
         room -= sizes.get(least, 0)
-    rows = gathered(table.filter(level >= least).select("gram", "delta", "backoff"))
-    keys = _string_keys(rows["gram"])
+    share = F.lit(False) if least <= 0 else (level == least - 1) & (F.pmod(F.xxhash64("gram"), F.lit(1 << 20)) < int((1 << 20) * 0.98 * room / sizes[least - 1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _string_keys(batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1), batch.column(2)], names=["key", "delta", "backoff"])
+
+    rows = gathered(table.filter((level >= least) | share).select("gram", "delta", "backoff").mapInArrow(run, "key long, delta double, backoff double"))
+    keys = rows["key"].astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], rows["delta"][order], rows["backoff"][order]
+    return keys[order], rows["delta"][order].astype(float), rows["backoff"][order].astype(float)
 
 
 def _sieve_bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +175,8 @@ def fit_grams(counts: DataFrame, discounts) -> GramModel:
     are symbols at most, and the next lower order from a join by suffix. delta is what a gram's log probability is above that of
     its suffix with the weight of the context, backoff is the log weight of a gram as a context. So the log probability of a
     symbol is base, plus delta of the grams of all orders that end there, plus backoff of their contexts, where grams never seen
-    add nothing. Tables that only lead to the model are deleted."""
-    tables = {ORDER: stage_table(counts.select("gram", "n"), f"order-{ORDER}")}
+    add nothing. counts (gram, n) is read several times: a staged table. Tables that only lead to the model are deleted."""
+    tables = {ORDER: counts.select("gram", "n")}
     for order in range(ORDER - 1, 0, -1):
         tables[order] = stage_table(tables[order + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), f"order-{order}")
     few = None
@@ -177,7 +198,8 @@ def fit_grams(counts: DataFrame, discounts) -> GramModel:
         p = (F.col("n") - F.col("discount")) / F.col("total") + F.col("weight") * F.col("lower")
         staged[order] = stage_table(table.select("gram", "n", "first", "weight", p.alias("p"), F.log(p / (F.col("weight") * F.col("lower"))).alias("delta")), f"grams-{order}")
         lower = staged[order].select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-        drop_table(tables[order])
+        if order < ORDER:
+            drop_table(tables[order])
     first = staged[1].first()
     if first:
         base += float(np.log(first["weight"]))
@@ -197,73 +219,71 @@ def fit_grams(counts: DataFrame, discounts) -> GramModel:
 class _Resolver:
     """Log probabilities of grams from what a worker holds: the cache, the sieve and the results of grams met before."""
 
+    #: Parts of a gram's log probability: the last k symbols as a gram, and those before the last as its context.
+    PARTS = [(k, True) for k in range(1, ORDER + 1)] + [(k, False) for k in range(1, ORDER)]
+
     def __init__(self, cache: tuple[np.ndarray, np.ndarray, np.ndarray], known: np.ndarray, base: float) -> None:
         self.cache, self.known, self.base = cache, known, base
-        self.keys, self.logp = np.empty(0, np.uint64), np.empty(0)
+        self.keys, self.logp, self.open = np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int32)
+
+    @staticmethod
+    def part(windows: np.ndarray, k: int, ends: bool) -> np.ndarray:
+        return windows[:, ORDER - k :] if ends else windows[:, ORDER - 1 - k : ORDER - 1]
 
-    def _part(self, windows: np.ndarray, column: int) -> np.ndarray:
-        """What the cache has for grams; 0 where the sieve says that the model has no row, NaN where it may have one."""
+    def _look_up(self, windows: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the cache has for grams, else 0, and where it has nothing and the sieve does not rule out a row of the model."""
         keys = _keys(windows)
-        out = np.full(len(keys), np.nan)
+        out, hit = np.zeros(len(keys)), np.zeros(len(keys), bool)
         if len(self.cache[0]):
             at = np.minimum(np.searchsorted(self.cache[0], keys), len(self.cache[0]) - 1)
             hit = self.cache[0][at] == keys
             out[hit] = self.cache[column][at[hit]]
-        else:
-            hit = np.zeros(len(keys), bool)
         miss = np.flatnonzero(~hit)
         one, two = _sieve_bits(keys[miss])
-        maybe = (self.known[one >> 6] >> (one & 63) & self.known[two >> 6] >> (two & 63) & 1).astype(bool)
-        out[miss[~maybe]] = 0.0
-        return out
+        maybe = np.zeros(len(keys), bool)
+        maybe[miss] = (self.known[one >> 6] >> (one & 63) & self.known[two >> 6] >> (two & 63) & 1).astype(bool)
+        return out, maybe
 
-    def resolve(self, keys: np.ndarray, padded: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Log probabilities of distinct grams (sorted keys, and a place of each), NaN where the sharded table must be asked."""
+    def resolve(self, keys: np.ndarray, padded: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct grams (sorted keys, and a place of each) the log probability without the parts that are open, and a bit for
+        each part (in the order of PARTS) that the sharded table must be asked for."""
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         seen = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        logp = np.empty(len(keys))
-        logp[seen] = self.logp[at[seen]] if len(self.keys) else 0.0
+        logp, left = np.full(len(keys), self.base), np.zeros(len(keys), np.int32)
+        if len(self.keys):
+            logp[seen], left[seen] = self.logp[at[seen]], self.open[at[seen]]
         new = np.flatnonzero(~seen)
         windows = _windows(padded, ends[new])
-        sums = np.full(len(new), self.base)
-        for k in range(1, ORDER + 1):
-            sums += self._part(windows[:, ORDER - k :], 1)
-            if k < ORDER:
-                sums += self._part(windows[:, ORDER - 1 - k : ORDER - 1], 2)
-        logp[new] = sums
+        sums, bits = np.full(len(new), self.base), np.zeros(len(new), np.int32)
+        for j, (k, whole) in enumerate(self.PARTS):
+            value, maybe = self._look_up(self.part(windows, k, whole), 1 if whole else 2)
+            sums += value
+            bits |= maybe.astype(np.int32) << j
+        logp[new], left[new] = sums, bits
         if len(self.keys) + len(new) > CACHE_ROWS:
-            self.keys, self.logp = keys[:CACHE_ROWS], logp[:CACHE_ROWS]
+            keep = min(len(keys), CACHE_ROWS // 2)
+            self.keys, self.logp, self.open = keys[:keep], logp[:keep], left[:keep]
         elif len(new):
             where = np.searchsorted(self.keys, keys[new])
-            self.keys, self.logp = np.insert(self.keys, where, keys[new]), np.insert(self.logp, where, sums)
-        return logp
-
-
-def _sums(model: GramModel, grams: DataFrame) -> DataFrame:
-    """gram and logp, without base, of distinct ORDER-grams: their parts are joined by key with the model."""
-    ends = [F.struct(F.expr(f"right(gram, {k})").alias("key"), F.lit(1).alias("ends")) for k in range(1, ORDER + 1)]
-    before = [F.struct(F.expr(f"substring(gram, {ORDER - k}, {k})").alias("key"), F.lit(0).alias("ends")) for k in range(1, ORDER)]
-    parts = grams.select("gram", F.explode(F.array(*ends, *before)).alias("x")).select("gram", "x.key", "x.ends")
-    found = parts.join(model.table.withColumnRenamed("gram", "key"), "key")
-    return found.groupBy("gram").agg(F.sum(F.when(F.col("ends") == 1, F.col("delta")).otherwise(F.col("backoff"))).alias("logp"))
+            self.keys, self.logp, self.open = (np.insert(x, where, y) for x, y in ((self.keys, keys[new]), (self.logp, sums), (self.open, bits)))
+        return logp, left
 
 
 def score_grams(documents: DataFrame, model: GramModel, keep: list[str]) -> DataFrame:
     """The columns `keep` with n_symbols and nll, the sum of negative log probabilities of the whole text (null: 0 and 0).
 
-    A task adds up the grams that it can resolve from what workers hold, and returns the other ones of each document with their
-    counts: these are joined by key with the sharded model and added to their documents. `keep` must not name n_symbols or nll;
-    texts are sent one way only and are not shuffled, so keep ids or hashes, not texts."""
+    A task adds up the parts that it can resolve from what workers hold, and returns the other ones of each document, counted:
+    these are joined by key with the sharded model and added to their documents. `keep` must not name n_symbols or nll; texts
+    are sent one way only and are not shuffled, so keep ids or hashes, not texts."""
     shared, base = documents.sparkSession.sparkContext.broadcast((model.cache, model.known)), model.base
     text, row, other, more = free(documents, "text_", "row_", "rest_", "more_")
     rows = documents.select(*(quoted(c) for c in keep), F.col("text").alias(text))
     fields = [f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    schema = ", ".join([*fields, "n_symbols long", "nll double", f"{row} long", f"{other} array<struct<gram:string,n:long>>"])
+    schema = ", ".join([*fields, "n_symbols long", "nll double", f"{row} long", f"{other} array<struct<gram:string,whole:boolean,n:long>>"])
     names = [*keep, "n_symbols", "nll", row, other]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
-        kind = pa.struct([("gram", pa.string()), ("n", pa.int64())])
         resolver = _Resolver(*shared.value, base)
         for batch in batches:
             data, bounds = utf8_buffers(batch.column(batch.num_columns - 1))
@@ -271,22 +291,27 @@ def score_grams(documents: DataFrame, model: GramModel, keep: list[str]) -> Data
                 padded, starts = code_points(data, bounds[low : high + 1])
                 size, count = np.diff(starts), high - low
                 keys, ends, which = _distinct(padded, _ends(starts))
-                logp = resolver.resolve(keys, padded, ends)
-                open_ = np.isnan(logp)
-                logp[open_] = base
+                logp, left = resolver.resolve(keys, padded, ends)
                 nll = np.diff(np.r_[0.0, np.cumsum(-logp[which])][starts])
-                left = np.flatnonzero(open_[which])
-                pair, n = np.unique(np.searchsorted(starts, left, "right").astype(np.int64) * (len(keys) + 1) + which[left], return_counts=True)
-                of, gram = pair // (len(keys) + 1) - 1, pair % (len(keys) + 1)
-                offsets = np.searchsorted(of, np.arange(count + 1)).astype(np.int32)
-                structs = pa.StructArray.from_arrays([_strings(_windows(padded, ends[gram])), pa.array(n, pa.int64())], fields=list(kind))
-                found = [pa.array(size.astype(np.int64)), pa.array(nll), pa.array(number + np.arange(count)), pa.ListArray.from_arrays(pa.array(offsets), structs)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(low, count).columns[:-1], *found], names=names)
+                at = np.flatnonzero(left[which])
+                pair, n = np.unique((np.searchsorted(starts, at, "right") - 1).astype(np.int64) * (len(keys) + 1) + which[at], return_counts=True)
+                of, gram = pair // (len(keys) + 1), pair % (len(keys) + 1)
+                windows, found = _windows(padded, ends[gram]), []
+                for j, (k, whole) in enumerate(_Resolver.PARTS):
+                    mine = np.flatnonzero(left[gram] >> j & 1)
+                    found.append((of[mine], _strings(_Resolver.part(windows[mine], k, whole)), np.full(len(mine), whole), n[mine]))
+                of = np.concatenate([x[0] for x in found])
+                order = np.argsort(of, kind="stable")
+                structs = [pa.concat_arrays([x[1] for x in found]).take(pa.array(order)), pa.array(np.concatenate([x[2] for x in found])[order]), pa.array(np.concatenate([x[3] for x in found])[order], pa.int64())]
+                offsets = np.searchsorted(of[order], np.arange(count + 1)).astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(structs, names=["gram", "whole", "n"]))
+                values = [pa.array(size.astype(np.int64)), pa.array(nll), pa.array(number + np.arange(count)), rest]
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, count).columns[:-1], *values], names=names)
                 number += count
 
     scored = stage_table(spread(rows).mapInArrow(run, schema), "scored")
-    rest = scored.filter(f"size({other}) > 0").select(row, F.explode(other).alias("x")).select(row, "x.gram", "x.n")
-    sums = stage_table(_sums(model, rest.select("gram").distinct()), "sums")
-    added = rest.join(sums, "gram").groupBy(row).agg(F.sum(F.col("n") * F.col("logp")).alias(more))
+    rest = scored.filter(f"size({other}) > 0").select(row, F.explode(other).alias("x")).select(row, "x.gram", "x.whole", "x.n")
+    part = F.when(F.col("whole"), F.col("delta")).otherwise(F.col("backoff"))
+    added = rest.join(model.table, "gram").groupBy(row).agg(F.sum(F.col("n") * part).alias(more))
     joined = scored.drop(other).join(added, row, "left")
     return joined.withColumn("nll", F.col("nll") - F.coalesce(more, F.lit(0.0))).drop(row, more)
