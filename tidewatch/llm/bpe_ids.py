@@ -28,14 +28,15 @@ class TextIds:
     The pre-tokeniser cuts between a run of other characters than blanks and the blanks after it, so the ids of a text are
     those of its units (a run with the blanks before it) in order. In most texts single blanks and line ends alone stand
     between runs; they are cut by plain splitting, any other by a pattern. A unit is kept under its run, for a blank before
-    it, under the line end and the run, or under BARE and the whole unit."""
+    it, under the line end and the run, or under BARE and the whole unit. A text that holds an added token of the file, which the
+    tokenizer finds before it cuts anything, is given to it whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
         self.letters = byte_letters()
         self.line_end = self._encode(["\n"])[0]
@@ -53,9 +54,12 @@ class TextIds:
         """The ids of each text as bytes; null counts as empty."""
         units: list[str] = []
         ends = []
-        for text in texts:
+        whole: dict[int, bytes] = {}
+        for number, text in enumerate(texts):
             if not text:
                 pass
+            elif any(t in text for t in self.added):
+                whole[number] = self._encode([text])[0]
             elif "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] in " \n" or not text.replace("\n", " ").isprintable():
                 units += [BARE + u for u in _UNIT.findall(text)]
             else:
@@ -71,7 +75,7 @@ class TextIds:
             new = self._learn({units[i] for i in missing})
             for i in missing:
                 found[i] = new[units[i]]
-        return [b"".join(found[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return [whole[k] if k in whole else b"".join(found[a:b]) for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
 
     def _learn(self, units: set[str]) -> dict[str, bytes]:
         if len(self.kept) + len(units) > KEPT_WORDS:
