@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tidewatch.llm import line_dedup
 
 
@@ -17,8 +19,7 @@ def brute(texts):
     gone = set()
     for k, (d, i, line) in enumerate(places):
         for _, _, other in places[:k]:
-            near = len(line) >= line_dedup.LEAST_CHARS and len(other) >= line_dedup.LEAST_CHARS and distance_within_one(line, other)
-            if line == other or near:
+            if line == other or distance_within_one(line, other):
                 gone.add((d, i))
                 break
     return gone
@@ -26,14 +27,14 @@ def brute(texts):
 
 def test_equals_brute_force(spark, documents):
     rng = random.Random(2)
-    base = ["".join(rng.choice("abcdé ") for _ in range(rng.choice((19, 20, 21, 40, 90)))).strip() + "." for _ in range(25)]
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.choice((3, 5, 9, 20, 21, 40, 90)))).strip() + "." for _ in range(25)]
 
     def change(line):
         i = rng.randrange(len(line) + 1)
         return rng.choice((line, line[:i] + "z" + line[i:], line[:i] + line[i + 1 :], line[:i] + "q" + line[i + 1 :], line[:i] + "zz" + line[i:], line[: i // 2] + "z" + line[i // 2 :][: i] + "z"))
 
     texts = {i: "\n".join(change(rng.choice(base)) for _ in range(rng.randrange(1, 9))) for i in range(60)}
-    texts |= {90: None, 91: "", 92: "\n\n", 93: "short\nshort\nshorts", 94: "hot line that is everywhere", 95: "x" * 3000, 96: "x" * 3001, 97: "x" * 2999 + "y", 98: "  ", 99: "tail\n"}
+    texts |= {90: None, 91: "", 92: "\n\n", 93: "short\nshort\nshorts", 94: "hot line that is everywhere", 95: "x" * 3000, 96: "x" * 3001, 97: "x" * 2999 + "y", 98: "  ", 99: "tail\n", 88: "x\nqrst\nqrs\nxy\nqrzt", 89: "1234\n12345\n123456"}
     texts |= {i: "hot line that is everywhere\nown %d of its kind, truly" % (i * 7919) for i in range(100, 140)}
     docs = documents(texts)
     gone = brute(texts)
@@ -46,6 +47,16 @@ def test_equals_brute_force(spark, documents):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_plan_has_no_python(spark, documents):
-    plan = line_dedup.dedup_lines(documents({1: "a\nb"}))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+def test_plan_has_no_python(spark, documents, monkeypatch):
+    """Neither the plan of the result nor those of the tables written on the way."""
+    plans, write = [], line_dedup.stage_table
+    note = lambda df: plans.append(df._jdf.queryExecution().toString()) or df
+    monkeypatch.setattr(line_dedup, "stage_table", lambda df, label: write(note(df), label))
+    note(line_dedup.dedup_lines(documents({1: "a\nb"})))
+    assert len(plans) > 8 and not [p for p in plans if "Python" in p or "Pandas" in p or "Arrow" in p]
+
+
+def test_work_columns_may_clash(spark, documents):
+    docs = documents({1: "one line here\nanother", 2: "one line herd", 3: None}).withColumns({c: F.lit("x") for c in ("_doc", "_dropped", "doc_", "dropped_", "line", "h1", "first", "place")})
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert (got[1]["text"], got[2]["text"], got[3]["text"]) == ("one line here\nanother", "", None) and got[2]["_doc"] == "x" and got[2]["dropped_"] == "x"

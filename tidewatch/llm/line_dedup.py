@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIEVE_BITS, stage_table
-
-#: Lines of fewer characters are duplicates only if equal: one edit turns a short line into another one.
-LEAST_CHARS = 20
-
+from .common import SIEVE_BITS, free, stage_table
 
 #: Segments by which candidate lines are narrowed down to the part that differs.
 SEGMENTS = 16
@@ -30,16 +26,16 @@ def _through_sieve(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """Rows (h1, h2 and more) whose key occurs in another line too."""
-    several = keyed.groupBy("key").agg(F.count("*").alias("n_key")).filter("n_key > 1").select("key")
+    """Rows (h1, h2 and more) whose key occurs in another line too. The keys are a written table, so that Spark can split a hot one."""
+    several = stage_table(keyed.groupBy("key").agg(F.count("*").alias("n_key")).filter("n_key > 1").select("key"), "keys")
     return keyed.join(several, "key", "left_semi")
 
 
 def duplicate_lines(documents: DataFrame) -> DataFrame:
     """doc_id, line_no of every line that an earlier line (by doc_id, then line_no) equals or is one edit away from.
 
-    The bound is one insertion, deletion or substitution of a character; lines under LEAST_CHARS characters must be equal.
-    Blank lines are never duplicates. A null text has none.
+    The bound is one insertion, deletion or substitution of a character, whatever the length of the line. Blank lines are never
+    duplicates. A null or empty text has none, nor has an empty table; other columns than doc_id and text are ignored.
 
     Equal lines are first reduced to their earliest place, with partial results in each task. Lines within one edit are equal
     but for one of 2, and one of SEGMENTS, segments: only lines that share such a masked key go on, and only positions in that
@@ -51,13 +47,13 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
     lines = (
         documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
         .filter("trim(line) <> ''")
-        .withColumns({"h1": F.expr("xxhash64(line)"), "h2": F.expr("xxhash64(line, 7)"), "n": F.length("line")})
+        .withColumns({"h1": F.expr("xxhash64(line)"), "h2": F.expr("xxhash64(7, line)"), "n": F.length("line")})
     )
-    halves = F.expr(f"if(n < {LEAST_CHARS}, null, array({', '.join(_masked(c, q, 2) for c in ('n', '(n - 1)') for q in '01')}))")
+    halves = F.expr(f"array({', '.join(_masked(c, q, 2) for c in ('n', '(n - 1)') for q in '01')})")
     places = stage_table(lines.select("h1", "h2", "n", F.struct("doc_id", "line_no").alias("place"), halves.alias("halves")), "places")
     first = stage_table(places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("halves").alias("halves")), "first-places")
 
-    likely = _shared(first.filter("halves is not null").select("h1", "h2", "first", F.explode("halves").alias("key"))).select("h1", "h2", "first").distinct()
+    likely = _shared(first.select("h1", "h2", "first", F.explode("halves").alias("key"))).select("h1", "h2", "first").distinct()
     likely = stage_table(likely, "likely")
     some = _through_sieve(lines, likely).join(likely.withColumnRenamed("h2", "g2"), "h1").filter("h2 = g2 and doc_id <=> first.doc_id and line_no = first.line_no")
     texts = stage_table(some.select("h1", "h2", "first", "line", "n").dropDuplicates(["h1", "h2"]), "candidates")
@@ -73,27 +69,31 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
     keyed = stage_table(variants.distinct().unionByName(whole), "variants")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("first"))).alias(kind)
     groups = keyed.groupBy("key").agg(least("S"), least("D"), least("W"), F.count("*").alias("n_key")).filter("n_key > 1").drop("n_key")
+    groups = stage_table(groups, "partners")
     partner = F.when(F.col("kind") == "S", F.col("S")).when(F.col("kind") == "D", F.col("W")).otherwise(F.col("D"))
     pairs = keyed.join(groups, "key").select("h1", "h2", "first", partner.alias("partner")).filter("partner < first").distinct()
     mine = pairs.join(texts.select("h1", "h2", "line"), ["h1", "h2"])
     both = mine.join(texts.select(F.col("first").alias("partner"), F.col("line").alias("other")), "partner")
     near = both.filter(F.levenshtein("line", "other", 1).between(0, 1)).select("h1", "h2").distinct()
 
-    near = stage_table(near.withColumn("near", F.lit(True)), "near")
-    marked = places.select("h1", "h2", "place").join(first.select("h1", "h2", "first").join(near, ["h1", "h2"], "left"), ["h1", "h2"])
+    gone = stage_table(first.select("h1", "h2", "first").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left"), "gone")
+    marked = places.select("h1", "h2", "place").join(gone, ["h1", "h2"])
     return marked.filter("near or place <> first").select("place.doc_id", "place.line_no")
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """The documents, all columns kept, without the lines that duplicate_lines names; and n_lines and n_dropped (these replace
-    columns of the same name). Null texts stay null with one empty line. Rows that repeat a doc_id lose the same line numbers."""
-    dropped = duplicate_lines(documents).groupBy("doc_id").agg(F.collect_set("line_no").alias("_dropped")).withColumnRenamed("doc_id", "_doc")
-    joined = documents.drop("n_lines", "n_dropped").join(dropped, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    columns of the same name). Null texts stay null with one empty line. Rows that repeat a doc_id lose the same line numbers, and
+    so do rows without doc_id. An empty table gives an empty result."""
+    doc, numbers = free(documents, "doc_", "dropped_")
+    dropped = duplicate_lines(documents).groupBy("doc_id").agg(F.collect_set("line_no").alias(numbers)).withColumnRenamed("doc_id", doc)
+    joined = documents.drop("n_lines", "n_dropped").join(dropped, F.col("doc_id").eqNullSafe(F.col(doc)), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_dropped"), i))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
+    kept = F.transform(left, lambda i: F.get(lines, i))
     return (
         joined.withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("_doc", "_dropped")
+        .withColumn("n_dropped", F.coalesce(F.size(numbers), F.lit(0)).cast("long"))
+        .withColumn("text", F.when(F.col(numbers).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+        .drop(doc, numbers)
     )

@@ -90,12 +90,12 @@ ORACLES = {
         c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
         FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n USING (doc_id)""",
-    "op9_line_dedup": f"""
+    "op9_line_dedup": """
         WITH l AS (SELECT doc_id, CAST(unnest(range(len(p))) AS INTEGER) AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
         f AS (SELECT line, min((doc_id, line_no)) AS first FROM l WHERE trim(line, ' ') <> '' GROUP BY line),
         m AS (SELECT DISTINCT a.line FROM f a JOIN f b ON length(b.line) BETWEEN length(a.line) - 1 AND length(a.line) + 1 AND b.first < a.first
-              AND (left(a.line, CAST(length(a.line) // 2 AS BIGINT) - 1) = left(b.line, CAST(length(a.line) // 2 AS BIGINT) - 1) OR right(a.line, CAST(length(a.line) // 2 AS BIGINT) - 1) = right(b.line, CAST(length(a.line) // 2 AS BIGINT) - 1))
-              WHERE length(a.line) >= {line_dedup.LEAST_CHARS} AND length(b.line) >= {line_dedup.LEAST_CHARS} AND levenshtein(a.line, b.line) <= 1),
+              AND (left(a.line, greatest(length(a.line) // 2 - 1, 0)) = left(b.line, greatest(length(a.line) // 2 - 1, 0)) OR right(a.line, greatest(length(a.line) // 2 - 1, 0)) = right(b.line, greatest(length(a.line) // 2 - 1, 0)))
+              WHERE levenshtein(a.line, b.line) <= 1),
         k AS (SELECT l.*, coalesce(f.first <> (l.doc_id, l.line_no) OR l.line IN (SELECT line FROM m), false) AS gone FROM l LEFT JOIN f ON f.line = l.line)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS text_sha256
         FROM k GROUP BY doc_id""",
