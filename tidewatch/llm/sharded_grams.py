@@ -19,7 +19,10 @@ ORDER = 6
 SYMBOLS = 0x110000
 #: Rows of the tables that each worker also holds: the most frequent ones, whose many occurrences need no shuffle then.
 #: It changes where a gram is looked up, never what is found; all other grams are joined by key.
-CACHE_ROWS = 1 << 21
+CACHE_ROWS = 1 << 20
+#: Bytes of text scored at once, and grams whose results a worker keeps; both bound its memory.
+SCORED_BYTES = 1 << 20
+KEPT_GRAMS = 1 << 19
 #: Binary logarithm of the bits of the sieve that says of a gram that the model has no row of it (8 MiB, whatever the input). When
 #: it fills up, more grams are looked up by key, and nothing else changes.
 SIEVE_LOG = 26
@@ -260,8 +263,8 @@ class _Resolver:
             sums += value
             bits |= maybe.astype(np.int32) << j
         logp[new], left[new] = sums, bits
-        if len(self.keys) + len(new) > CACHE_ROWS:
-            keep = min(len(keys), CACHE_ROWS // 2)
+        if len(self.keys) + len(new) > KEPT_GRAMS:
+            keep = min(len(keys), KEPT_GRAMS // 2)
             self.keys, self.logp, self.open = keys[:keep], logp[:keep], left[:keep]
         elif len(new):
             where = np.searchsorted(self.keys, keys[new])
@@ -287,7 +290,7 @@ def score_grams(documents: DataFrame, model: GramModel, keep: list[str]) -> Data
         resolver = _Resolver(*shared.value, base)
         for batch in batches:
             data, bounds = utf8_buffers(batch.column(batch.num_columns - 1))
-            for low, high in row_runs(bounds):
+            for low, high in row_runs(bounds, SCORED_BYTES):
                 padded, starts = code_points(data, bounds[low : high + 1])
                 size, count = np.diff(starts), high - low
                 keys, ends, which = _distinct(padded, _ends(starts))
