@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +35,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run inside leave no shuffle files."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there and lost executors lose nothing. Shuffle files
     of the write go when the table is there."""
     spark = ship(df.sparkSession)
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}-{label}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with tidy(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,7 +98,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def gathered(df: DataFrame) -> dict[str, np.ndarray]:
     """The columns of a table of bounded size, brought to the driver as Arrow batches."""
-    table = df.toArrow()
+    with tidy(df.sparkSession):
+        table = df.select("*").toArrow()
     return {name: table.column(name).to_numpy() for name in table.column_names}
 
 
