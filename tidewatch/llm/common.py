@@ -155,30 +155,27 @@ def bits_table(spark: SparkSession, sieve: np.ndarray) -> DataFrame:
     return ship(spark).createDataFrame(pa.table({"word": pa.array(at, pa.int64()), "mask": pa.array(sieve[at], pa.int64())}))
 
 
-def sieve_hits(sieve: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return (sieve[bits >> 6] >> (bits & 63) & 1).astype(bool)
-
-
 def id_bit(column: str):
     """The sieve's bit for an id."""
     return F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS)).alias("bit")
 
 
+def _in_sieve(df: DataFrame, bit: str, sieve: np.ndarray, flag: str) -> DataFrame:
+    """df with a flag that tells whether a bit number is in the sieve. Its words are joined as a small broadcast table."""
+    word, mask = free(df, "word_", "mask_")
+    words = bits_table(df.sparkSession, sieve).toDF(word, mask)
+    joined = df.withColumn(word, F.shiftright(bit, 6)).join(F.broadcast(words), word, "left")
+    return joined.withColumn(flag, F.expr(f"coalesce(shiftright({mask}, cast({bit} & 63 as int)) & 1, 0) = 1")).drop(word, mask)
+
+
 def sieved(df: DataFrame, key: str, sieve: np.ndarray, other: np.ndarray | None = None, within: bool = False) -> DataFrame:
     """Rows of df whose key may be in the sieve (of id_bit numbers): no row of a key in it is lost, a few others may pass. With
-    another sieve, of these rows those that may be in it (within), or those that are surely not."""
-    shared = df.sparkSession.sparkContext.broadcast((sieve, other))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = shared.value
-        for batch in batches:
-            bits = batch.column(batch.num_columns - 1).to_numpy()
-            hit = sieve_hits(first, bits)
-            if second is not None:
-                hit &= sieve_hits(second, bits) == within
-            yield batch.filter(pa.array(hit)).select(range(batch.num_columns - 1))
-
-    return df.withColumn("_bit", id_bit(key)).mapInArrow(keep, df.schema)
+    another sieve, of these rows those that may be in it (within), or those that are surely not. No Python worker takes part."""
+    bit, flag = free(df, "bit_", "flag_")
+    out = _in_sieve(df.withColumn(bit, id_bit(key)), bit, sieve, flag).filter(flag).drop(flag)
+    if other is not None:
+        out = _in_sieve(out, bit, other, flag).filter(F.col(flag) == F.lit(within)).drop(flag)
+    return out.select(*map(quoted, df.columns))
 
 
 def without(rows: DataFrame, gone: DataFrame, on: list[str], once: bool = False) -> DataFrame:
