@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,10 +84,12 @@ def test_spans_and_tags():
 
 
 def test_json():
-    assert parsing.flatten_json('{"a":{"b":[1,"x",{}]},"c":null}') == [("a.b.0", "1"), ("a.b.1", "x"), ("c", "null")]
-    assert parsing.flatten_json("nope") == []
+    assert parsing.normalised_json('{"a":{"b":[1,"x",{}]},"c":null}')[1] == [("a.b.0", "1"), ("a.b.1", "x"), ("c", "null")]
+    assert parsing.normalised_json("nope") is None
+    deep = json.loads('{"k":' * 40 + "1" + "}" * 40)
+    assert parsing.flatten_json(deep) == [(".".join("k" * 40), 1)]
     pairs = [(f"k{i}", "v") for i in range(900)] + [(f"x.title{i}", "v") for i in range(200)] + [("y.title", "v")]
-    assert parsing.limit_keys(pairs, frozenset({"title"}), 1000)[0] == ("y.title", "v")
+    assert parsing.limit_keys(pairs, ("title",), 1000)[0] == ("x.title0", "v")
 
 
 def test_markdown():
@@ -130,17 +134,18 @@ def test_artifacts_heal_and_rate(spark):
 def test_candidates_and_extraction(spark):
     from tidewatch.functions import candidates
 
-    t = "Block 203.0.113.0/24 and 203.0.113.0, 8.8.8.8, 10.0.0.1; c2 beacon evil[.]com www.good.org com.google.maps.app setup.exe STIX_INDICATOR_PATTERN: [domain-name:value = 'p.q'] " + "x" * 300 + " 192.168.7.7"
+    t = "Block 203.0.113.0/24 and 203.0.113.0, 8.8.8.8, 10.0.0.1; c2 beacon evil[.]com www.good.org com.google.maps.app setup.exe STIX_INDICATOR_PATTERN: [domain-name:value = 'p.qq'] STIX_INDICATOR_PATTERN: [x509-certificate:serial_number = '4c:b'] " + "x" * 300 + " 192.168.7.7"
     run = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
     assert run(candidates.ip_candidates(F.lit(t))) == ["203.0.113.0/24", "8.8.8.8", "10.0.0.1"]
-    got = run(candidates.extract(F.lit(t), F.lit("good.org")))
+    found = lambda x, u: candidates.extract(spark.createDataFrame([(x, u)], "text string, url string"), source_url="url").first()
+    got = found(t, "http://www.good.org/x")
     assert got["ips"] == ["8.8.8.8"] and [r["ip"] for r in got["non_routable"]] == ["203.0.113.0/24", "10.0.0.1"]
-    assert "evil.com" in got["domains"] and "p.q" in got["domains"] and "good.org" not in got["domains"] and not any("google" in d for d in got["domains"])
+    assert "evil.com" in got["domains"] and "p.qq" in got["domains"] and "good.org" not in got["domains"] and not any("google" in d for d in got["domains"])
     assert run(candidates.accept(F.lit("a.tk"), F.lit("tea"))) and not run(candidates.accept(F.lit("plain.org"), F.lit("tea")))
     assert not run(candidates.accept(F.lit("https://x.gov"), F.lit("an attack")))
     assert run(candidates.products(F.lit("CVE-2020-1 hits Apache Struts"), F.lit("cve-2020-1"))) == ["Apache Struts"]
     assert [run(candidates.valid_url(F.lit(u))) for u in ("http://a.bc/c", "http://nodot/", "http:///x", "ftp://a.bc", "https://1.2.3.4/")] == [True, False, False, False, True]
-    assert run(candidates.extract(F.lit(None).cast("string")))["urls"] == []
+    assert found(None, None)["urls"] == []
 
 
 def test_ipv6(spark):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
-from .functions import candidates, classify, indicators, network, text
+from .functions import budget, candidates, classify, fields, indicators, network, text
+from .functions import patterns as P
+from .functions import text as text_functions
 from .operators import parsing, relational, search
 from .sources import readers, writers
 
@@ -25,16 +28,25 @@ def ingest(table: DataFrame, records: DataFrame) -> DataFrame:
     """The table after records (id, text, metadata columns) took the place of those with the same point id, the last one of
     each id counting; ids become point ids."""
     keyed = records.withColumn("id", text.point_id(F.col("id").cast("string"))).withColumn("_n", F.monotonically_increasing_id())
-    return relational.upsert(table, relational.latest(keyed, ["id"], [F.desc("_n")]).drop("_n"), "id")
+    return relational.upsert(table, relational.latest(keyed, ["id"], ["_n"]).drop("_n"), "id")
 
 
-def query(documents: DataFrame, q: str, limit: int = 5, least: float = 0.0, **conditions) -> DataFrame:
-    """Hybrid search under payload conditions. An empty query and a limit outside 1 to 50 are refused."""
+def query(documents: DataFrame, q: str, limit: int = 5, least: float = 0.0, has_ioc: bool = False, vectors: DataFrame | None = None, **conditions) -> DataFrame:
+    """Hybrid search under payload conditions: doc_id, score, stage. An empty query and a limit outside 1 to 50 are refused."""
     if not (q or "").strip():
         raise ValueError("the query is empty")
     if not 1 <= limit <= 50:
         raise ValueError("the limit is 1 to 50")
-    return search.hybrid_search(documents.filter(search.payload_filter(**conditions)), q, limit, least)
+    return search.hybrid_search(documents.filter(search.payload_filter(**conditions)), q, limit, least, vectors, has_ioc)
+
+
+def respond(documents: DataFrame, q: str, kinds: dict[str, str] | None = None, **how) -> DataFrame:
+    """The answer to a search: text, score and tags (always a list) of the hits, best first."""
+    hits = query(documents, q, **how)
+    kind = dict(documents.dtypes).get("tags", "string")
+    tags = fields.tag_list(F.col("tags") if "tags" in documents.columns else F.lit(None).cast("string"), kind)
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), tags.alias("tags")).join(F.broadcast(hits), "doc_id")
+    return rows.orderBy("stage", F.desc("score"), "doc_id").select("text", "score", "tags")
 
 
 def artifact_points(artifacts: DataFrame) -> DataFrame:
@@ -53,10 +65,51 @@ def artifact_points(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def by_cves(points: DataFrame, tenant: str = "default", cves: list[str] = ()) -> DataFrame:
+def by_cves(points: DataFrame, tenant: str = "default", cves: list[str] = (), most: int = 50) -> DataFrame:
     """Up to 50 points of a tenant, with the first of the CVE ids given."""
     rows = points.filter(F.col("tenant") == tenant)
-    return (rows.filter(F.array_contains("cves", cves[0])) if cves else rows).limit(50)
+    return (rows.filter(F.array_contains("cves", cves[0])) if cves else rows).limit(most)
+
+
+def summarise(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Title, summary, flags and recommendations of texts by rule: the first line, the first 500 characters or the facts of a long text."""
+    t = F.col(text)
+    return rows.withColumns({
+        "title": F.trim(F.split_part(t, F.lit("\n"), F.lit(1))), "summary": F.when(F.length(t) <= 500, t).otherwise(budget.summarised(t)),
+        "zero_day_mention": classify.zero_day(t), "active_exploitation_mentioned": classify.actively_exploited(t), "recommendations_and_mitigations": budget.recommendations(text_functions.sentences(t)),
+    })
+
+
+def entities_of(rows: DataFrame, text: str = "text") -> DataFrame:
+    """malware and threat_actors by the fixed names, variants merged, generic words left out."""
+    generic = lambda found: F.filter(found, lambda n: ~F.lower(n).isin(*P.NO_ENTITIES) & (F.length(n) > 1))
+    found = lambda names: generic(indicators.distinct_matches(F.col(text), r"(?i)\b(?:" + "|".join(names) + r")\b"))
+    return rows.withColumns({"malware": relational.smart_list(found(P.MALWARE_NAMES)), "threat_actors": relational.smart_list(found((*P.ACTOR_NAMES, r"(?:APT|UNC|TA)\d+")))})
+
+
+def schemas() -> dict[str, dict]:
+    """Name, summary and parameters of each tool, from its signature."""
+    out = {}
+    for name, tool in TOOLS.items():
+        parameters = inspect.signature(tool).parameters.values()
+        required = [p.name for p in parameters if p.default is p.empty and p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD)]
+        properties = {p.name: {"type": getattr(p.annotation, "__name__", str(p.annotation)) if p.annotation is not p.empty else "any"} for p in parameters}
+        out[name] = {"name": name, "description": (inspect.getdoc(tool) or "").split("\n")[0], "inputSchema": {"type": "object", "properties": properties, "required": required}}
+    return out
+
+
+def call(name: str, *args, **kwargs):
+    """Calls a tool by its name; an unknown name is refused."""
+    if name not in TOOLS:
+        raise KeyError(f"no tool is called {name}")
+    return TOOLS[name](*args, **kwargs)
+
+
+#: What the stages of the document plan do, in the order in which they run.
+CAPABILITIES = (
+    "fetch", "detect_type", "parse_html", "parse_pdf", "parse_rss", "parse_json", "parse_misp", "parse_stix", "parse_text", "extract_iocs", "extract_cves", "map_techniques",
+    "extract_entities", "summarize", "classify_geo_motivation", "classify_cyber", "validate", "store",
+)
 
 
 # Tools by the names under which callers know them: columns to a column, or frames to a frame.
@@ -69,9 +122,9 @@ TOOLS: dict[str, Callable] = {
     "html_to_markdown": parsing.html_markdown,
     "pdf_to_text": text.clean_pdf_text,
     "json_normalize": parsing.json_pairs,
-    "extract_pdf_text_and_markup": text.text_to_markdown,
-    "summarize_threat": classify.summary_facts,
-    "extract_entities": classify.key_elements,
+    "extract_pdf_text_and_markup": budget.pdf_page_markdown,
+    "summarize_threat": summarise,
+    "extract_entities": entities_of,
     "classify_geo_scope": classify.geography,
     "classify_high_tension": classify.high_tension,
     "classify_motivation": classify.motivations,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .indicators import commands, distinct_matches, emails, file_paths, hashes, matches, processes, refang, registry_keys, stix_pattern_values, urls
+from .indicators import commands, distinct_matches, emails, file_paths, hashes, matches, processes, refang, registry_keys, stix_pattern_values
+from .links import url_candidates
 from .network import classify_ipv4, ipv4_number, normalise_domain, normalise_ipv4, private_needs_context, valid_domain
 
 EMPTY = "array<string>"
@@ -45,13 +46,14 @@ def valid_ip(ip: Column) -> Column:
 
 def ip_candidates(text: Column) -> Column:
     """Address blocks, then single addresses that are not the base of one. Private addresses need a threat word near their
-    first occurrence unless they are written defanged."""
+    first occurrence unless they are written defanged. Of the newer family none passes: its candidates are eight full groups, which
+    look like serial numbers, or malformed."""
     block = rf"\b(?:{P.OCTET}\.){{3}}{P.OCTET}/[0-9]{{1,2}}\b"
     block_defanged = rf"\b(?:{P.OCTET}\[\.\]){{3}}{P.OCTET}/[0-9]{{1,2}}\b"
     blocks = F.filter(F.transform(distinct_matches(text, block, block_defanged), refang), valid_ip)
     bases = F.transform(blocks, lambda b: F.split_part(b, F.lit("/"), F.lit(1)))
     written = distinct_matches(text, rf"\b(?:{P.OCTET}\.){{3}}{P.OCTET}\b", rf"\b(?:{P.OCTET}\[\.\]){{3}}{P.OCTET}\b")
-    kept = F.filter(written, lambda w: ~F.array_contains(bases, refang(w)) & valid_ip(refang(w)) & (~w.rlike(P.PRIVATE) | private_needs_context(w, text)))
+    kept = F.filter(written, lambda w: ~F.array_contains(bases, refang(w)) & valid_ip(refang(w)) & (~w.rlike(P.PRIVATE_WIDE) | private_needs_context(w, text)))
     return F.array_distinct(F.concat(blocks, F.transform(kept, lambda w: normalise_ipv4(refang(w)))))
 
 
@@ -88,29 +90,41 @@ def accept(value: Column, context: Column) -> Column:
     )
 
 
-def extract(text: Column, source_host: Column | None = None) -> Column:
-    """All indicator lists of a text: urls, domains, ips, hashes, file_paths, processes, registry_keys, commands, emails and the
-    addresses that cannot be routed. Values of pattern lines are added once; with over ten network indicators each must be
-    accepted. A source host's own name and address are left out."""
-    text = F.coalesce(text, F.lit(""))
-    stix = stix_pattern_values(text)
-    of = lambda *kinds: F.transform(F.filter(stix, lambda s: s["kind"].isin(*kinds)), lambda s: s["value"])
-    named = F.transform(stix, lambda s: s["value"])
-    rest = lambda found: F.array_except(found, named)
-    every = rest(ip_candidates(text))
-    lists = {
-        "urls": F.array_union(F.filter(rest(urls(text)), valid_url), of("url")),
-        "domains": F.array_union(rest(domain_candidates(text)), of("domain")),
-        "ips": F.array_union(routable(every), of("ipv4", "ipv6")),
-    }
-    if source_host is not None:
-        own = F.coalesce(normalise_domain(source_host), F.lit(""))
-        lists["domains"] = F.filter(lists["domains"], lambda d: d != own)
-    many = sum((F.size(v) for v in lists.values()), F.lit(0)) > 10
-    lists = {k: F.when(many, F.filter(v, lambda x: accept(x, text))).otherwise(v) for k, v in lists.items()}
-    lists["hashes"] = F.array_union(rest(hashes(text)), of("md5", "sha1", "sha256", "sha512"))
-    lists |= {"file_paths": file_paths(text), "processes": processes(text), "registry_keys": registry_keys(text), "commands": commands(text), "emails": emails(text)}
-    return F.struct(*(F.array_sort(v).alias(k) for k, v in lists.items()), not_routable(every).alias("non_routable"))
+NETWORK = ("urls", "domains", "ips")
+LISTS = ("urls", "domains", "ips", "hashes", "file_paths", "processes", "registry_keys", "commands", "emails")
+
+
+def extract(rows: DataFrame, text: str = "text", source_url: str | None = None) -> DataFrame:
+    """All indicator lists of a text as further columns: urls, domains, ips, hashes, file_paths, processes, registry_keys, commands,
+    emails and the addresses that cannot be routed (non_routable). Values of pattern lines are added once, valid ones alone, and
+    excluded ones are left out, and so is the host of the source. With over ten network indicators each must be accepted; with over
+    a hundred in a text that reads like a report, all addresses are.
+
+    It goes in steps, so that each list is found once and not again wherever it is used; one scan, no shuffle."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    own = F.lit("") if source_url is None else F.coalesce(F.regexp_extract(F.lower(source_url), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
+    out = rows.withColumns({"_text": t, "_own": own, "_stix": stix_pattern_values(t), "_urls": url_candidates(t, valid_url), "_domains": domain_candidates(t), "_every": ip_candidates(t), "_hashes": hashes(t)})
+    named = F.transform("_stix", lambda s: s["value"])
+    out = out.withColumns({"_named": named, "_every": F.array_except("_every", named)})
+    of = lambda good, *kinds: F.filter(F.transform(F.filter("_stix", lambda s: s["kind"].isin(*kinds)), lambda s: s["value"]), good)
+    out = out.withColumns({
+        "urls": F.array_union(F.array_except("_urls", "_named"), of(valid_url, "url")), "domains": F.array_union(F.array_except("_domains", "_named"), of(valid_domain, "domain")),
+        "ips": F.array_union(routable(F.col("_every")), of(valid_ip, "ipv4")), "hashes": F.array_union(F.array_except("_hashes", "_named"), of(valid_hash, "md5", "sha1", "sha256", "sha512")),
+    })
+    foreign = lambda d: (F.lower(d) != F.col("_own")) & (F.lower(d) != F.regexp_replace("_own", r"^www\.", ""))
+    out = out.withColumn("domains", F.filter("domains", foreign))
+    out = out.withColumn("_total", F.size("urls") + F.size("domains") + F.size("ips"))
+    report = (F.col("_total") > 100) & F.lower("_text").rlike("|".join(P.REPORT_WORDS))
+    keep = {"urls": lambda x: accept(x, F.col("_text")), "domains": lambda x: accept(x, F.col("_text")), "ips": lambda x: report | accept(x, F.col("_text"))}
+    lists = {k: F.array_sort(F.when(F.col("_total") > 10, F.filter(k, keep[k])).otherwise(F.col(k))) for k in NETWORK}
+    host = {"hashes": F.col("hashes"), "file_paths": file_paths(F.col("_text")), "processes": processes(F.col("_text")), "registry_keys": registry_keys(F.col("_text")), "commands": commands(F.col("_text")), "emails": emails(F.col("_text"))}
+    out = out.withColumns(lists | {k: F.array_sort(v) for k, v in host.items()} | {"non_routable": not_routable(F.col("_every"))})
+    return out.drop("_text", "_own", "_stix", "_urls", "_domains", "_every", "_hashes", "_named", "_total")
+
+
+def valid_indicator(kind: Column, value: Column) -> Column:
+    """Whether a value has the form of its kind: url, domain, ip or hash; other kinds are taken as they are."""
+    return F.when(kind == "url", valid_url(value)).when(kind == "domain", valid_domain(value)).when(kind == "ip", valid_ip(value)).when(kind == "hash", valid_hash(value)).otherwise(True)
 
 
 def products(text: Column, cve: Column) -> Column:

@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .evidence import evidence
 from .indicators import matches
 
 
 def any_match(text: Column, found: tuple[str, ...]) -> Column:
-    return reduce(or_, (text.rlike(p) for p in found))
+    """Whether any pattern occurs. One with a gap (.*) is tried only on texts that hold what stands on both sides of it, since a gap makes
+    every start look to the end of its line."""
+
+    def one(pattern: str) -> Column:
+        sides = pattern.split(".*")
+        return reduce(and_, (text.rlike(p) for p in (*sides, pattern))) if len(sides) > 1 else text.rlike(pattern)
+
+    return reduce(or_, map(one, found))
 
 
 def high_tension(text: Column) -> Column:
@@ -41,6 +49,16 @@ def key_elements(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*parts)))
 
 
+def motivation_evidence(text: Column) -> Column:
+    """For each label found, the passages around its patterns (see evidence.evidence): label and found."""
+    return F.filter(F.array(*(F.struct(F.lit(k).alias("label"), evidence(text, p).alias("found")) for k, p in P.MOTIVATIONS.items())), lambda x: F.size(x["found"]) > 0)
+
+
+def tension_evidence(text: Column) -> Column:
+    """Up to five passages around the patterns of tension."""
+    return F.slice(evidence(text, P.TENSION), 1, 5)
+
+
 def cyber_related(text: Column) -> Column:
     return text.rlike(P.CYBER_WORDS)
 
@@ -60,9 +78,23 @@ def geography(text: Column) -> Column:
 
 
 def explicit_techniques(text: Column) -> Column:
-    """Technique ids with a word of context within 50 characters, sorted."""
-    near = F.filter(matches(text, r"(?s).{0,50}\bT\d{4}(?:\.\d{3})?\b.{0,50}"), lambda s: s.rlike(P.TECHNIQUE_CONTEXT))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(near, lambda s: F.regexp_extract_all(s, F.lit(P.TECHNIQUE), F.lit(0))))))
+    """Technique ids that have a word of context within 50 characters before or after, sorted. Each id is looked at by itself, so ids
+    close together share their context. Ids in paths, in versions or behind a product's name are no techniques."""
+    before = "|".join(f"{w}(?s:.){{0,{50 - len(w.replace(chr(92), ''))}}}" for w in P.TECHNIQUE_WORDS)
+    after = "|".join(f"(?s:.){{0,{50 - len(w.replace(chr(92), ''))}}}{w}" for w in P.TECHNIQUE_WORDS)
+    one = rf"(?<!{P.TECHNIQUE_NOT_BEFORE})\bT\d{{4}}(?:\.\d{{3}})?\b(?!{P.TECHNIQUE_NOT_AFTER})"
+    found = F.concat(matches(text, rf"(?<=(?i:{before})){one}"), matches(text, rf"{one}(?=(?i:{after}))"))
+    return F.array_sort(F.array_distinct(found))
+
+
+def best_techniques(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each key and technique: the greatest confidence (high, medium, low), explicit before behavioural, then the first
+    evidence. The best row comes from an aggregation with partial results, so a hot key is no single task's."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, ("high", "medium", "low"))), F.lower("confidence")), F.lit(9))
+    rank = F.when(rank == 0, 9).otherwise(rank)
+    order = F.struct(rank.alias("rank"), (F.col("source") != "explicit").alias("behavioural"), "evidence", "confidence", "source")
+    best = rows.groupBy(key, "technique").agg(F.min(order).alias("b"), F.count("*").alias("mentions"))
+    return best.select(key, "technique", "b.confidence", "b.source", "b.evidence", "mentions")
 
 
 def behaviour_techniques(text: Column) -> Column:

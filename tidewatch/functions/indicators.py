@@ -130,13 +130,15 @@ def urls(text: Column) -> Column:
 
 
 def stix_pattern_values(text: Column) -> Column:
-    """Values inside indicator pattern lines: the first of each kind in each pattern."""
-    bodies = matches(text, r"STIX_INDICATOR_PATTERN: \[(.*?)\]", 1)
-    kinds = {"domain": r"domain-name:value\s*=\s*'([^']+)'", "ipv4": r"ipv4-addr:value\s*=\s*'([^']+)'", "ipv6": r"ipv6-addr:value\s*=\s*'([^']+)'", "url": r"url:value\s*=\s*'([^']+)'"}
-    kinds |= {h: rf"file:hashes\.'?{n}'?\s*=\s*'([^']+)'" for h, n in (("md5", "MD5"), ("sha1", "SHA-1"), ("sha256", "SHA-256"), ("sha512", "SHA-512"))}
+    """kind and value of what pattern lines hold: the first of each kind in each pattern. Serial numbers, hardware addresses and other
+    hexadecimal groups have the kind excluded: no indicators, and not to be taken for some elsewhere in the text."""
+    bodies = matches(text, P.STIX_BODY, 1)
 
     def of(body: Column) -> Column:
-        return F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_extract(body, p, 1).alias("value")) for k, p in kinds.items()))
+        plain = [F.struct(F.lit(k).alias("kind"), F.regexp_extract(body, p, 1).alias("value")) for k, p in P.STIX_VALUES.items()]
+        grouped = F.transform(F.filter(matches(body, r"=\s*'([^']*:[^']*)'", 1), lambda v: v.rlike(r"^(?:[0-9A-Fa-f]{0,4}:)+[0-9A-Fa-f]{0,4}$")), lambda v: F.struct(F.lit("excluded").alias("kind"), v.alias("value")))
+        other = F.concat(*(matches(body, p, 1) for p in (*P.STIX_VALUES.values(),)))
+        return F.concat(F.array(*plain), F.filter(grouped, lambda g: ~F.array_contains(other, g["value"])))
 
     return F.array_distinct(F.filter(F.flatten(F.transform(bodies, of)), lambda v: v["value"] != ""))
 

@@ -131,6 +131,9 @@ BEHAVIOURS = (
     ("dll", "T1574.002"), ("living-off-the-land", "T1218"), ("c2", "T1071.001"), ("c2", "T1102"), ("exfiltration", "T1041"), ("exfiltration", "T1567.002"),
 )
 TECHNIQUE_CONTEXT = r"(?i)MITRE|ATT&CK|technique|tactic|uses|employs"
+TECHNIQUE_WORDS = ("MITRE", "ATT&CK", "technique", "tactic", "uses", "employs")
+TECHNIQUE_NOT_BEFORE = r"[/\\\\_-]|(?i:version|model|product|release) "
+TECHNIQUE_NOT_AFTER = r"[/\\\\_]|-\w"
 
 # Content detectors, each with the weight of one match.
 KIND_PATTERNS = {
@@ -173,3 +176,79 @@ CATEGORIES = (
 # What registry keys do not hold.
 REGISTRY_STOP = r"(?i)http|www|ftp://|\[\.\]|hxxp|javascript:|mailto:|file://|cmd\.exe|powershell\.exe|sc create|reg add|net start|net stop|&&|\|\||; |\n"
 REGISTRY_ODD = r"(?i)\\\\|\\$|\s+\\|\\\s+|\s+(create|add|delete|query|start|stop)\s+|(sc|net|reg)\s+"
+
+# Candidates of web addresses, and the older patterns for addresses and host names.
+URL_CANDIDATES = (
+    r"https?://[^\s<>\"]+",
+    r"hxxps?://[^\s<>\"]+",
+    r"https?\[:\]//[^\s<>\"]+",
+    r"https?://[^\s<>\"]*\[?\.\]?[^\s<>\"]*",
+    r"[a-zA-Z0-9.-]+\[\.\][a-zA-Z0-9.-]+\[\.\][a-zA-Z]{2,}(?:/[^\s<>\"]*)?",
+    r"\b(?:\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}|[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})/[^\s<>\"]+",
+    r"\b[Ll]ogin[^\s<>\"]*\.[a-zA-Z0-9.-]+(?:/[^\s<>\"]*)?",
+)
+_FOUR = r"[0-9]{1,3}(?:\[\.\])[0-9]{1,3}(?:\[\.\])[0-9]{1,3}(?:\[\.\])[0-9]{1,3}"
+_MIXED = r"[0-9]{1,3}(?:\.|\[\.\])[0-9]{1,3}(?:\.|\[\.\])[0-9]{1,3}(?:\.|\[\.\])[0-9]{1,3}"
+_PORT_PATH = r"(?::[0-9]+)?(?:/[^\s<>\"'`,]*)?"
+_QUERY = r"(?:\?[^\s<>\"'`,]*)?"
+LEGACY_URLS = (
+    r"(?i)https?://[^\s<>\"'`]+",
+    r"(?i)https?\[:\]//[^\s<>\"'`]+",
+    r"(?i)hxxps?\[:\]//[^\s<>\"'`]+",
+    r"(?i)https?://" + _FOUR + _PORT_PATH,
+    r"(?i)hxxps?://" + _FOUR + _PORT_PATH,
+    r"(?i)https?://" + _MIXED + _PORT_PATH,
+    r"(?i)hxxps?://" + _MIXED + _PORT_PATH,
+    r"(?i)https?://[a-zA-Z0-9-]+(?:\[\.\])[a-zA-Z0-9-]+(?:\[\.\])[a-zA-Z]{2,}" + _PORT_PATH + _QUERY,
+    r"(?i)hxxps?://[a-zA-Z0-9-]+(?:\[\.\])[a-zA-Z0-9-]+(?:\[\.\])[a-zA-Z]{2,}" + _PORT_PATH + _QUERY,
+    r"(?i)[a-zA-Z0-9-]+(?:\[\.\][a-zA-Z0-9-]+){1,}\[\.\][a-zA-Z]{2,}" + _PORT_PATH + _QUERY,
+    r"(?i)https?://[a-zA-Z0-9-]+\[[a-zA-Z0-9_-]+\]\.[a-zA-Z0-9-.]+" + _PORT_PATH + _QUERY,
+    r"(?i)[a-zA-Z0-9-]+(?:\.|\[\.\])[a-zA-Z0-9-]+(?:\.|\[\.\])[a-zA-Z0-9-]+(?:\.|\[\.\])*[a-zA-Z]{2,}" + _PORT_PATH + _QUERY + r"(?=.*\[\.\])",
+    r"(?i)(?:www\.)?[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}(?::[0-9]+)?(?:/[^\s<>\"'`,]+|\?[^\s<>\"'`,]+)",
+    r"(?i)(?:www\.)?[a-zA-Z0-9-]+\.[a-zA-Z]{2,}(?::[0-9]+)?(?:/[^\s<>\"'`,]+|\?[^\s<>\"'`,]+)",
+    r"(?i)[a-zA-Z0-9-]+\.(?:tk|ml|ga|cf|bit|onion)(?::[0-9]+)?(?!\S)",
+    r"(?i)[a-zA-Z0-9-]+(?:\[\.\][a-zA-Z0-9-]+)+\[\.\][a-zA-Z]{2,}(?::[0-9]+)?(?!\S)",
+)
+LEGACY_DOMAINS = (
+    r"\b(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}(?![/\?\s]*[^\s])",
+    r"\b(?:[a-zA-Z0-9-]+\[\.\])+[a-zA-Z]{2,}(?![/\?\s]*[^\s])",
+    r"\b[a-zA-Z0-9-]+(?:\[\.\][a-zA-Z0-9-]+)+\[\.\][a-zA-Z]{2,}(?![/\?\s]*[^\s])",
+    r"\b[a-zA-Z0-9-]+\[\.\][a-zA-Z0-9.-]+(?![/\?\s]*[^\s])",
+)
+PAGE_SUFFIXES = ("php", "html", "htm", "asp", "jsp", "js", "css", "txt", "xml", "json")
+IPV6 = (r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", r"\b(?:[0-9a-fA-F]{1,4}:){1,6}::[0-9a-fA-F]{0,4}\b")
+PRIVATE_WIDE = r"^10\.|^192\.168\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^127\.|^169\.254\.|^224\.|^0\.|^255\.255\.255\.255$"
+REPORT_WORDS = ("indicators", "iocs", "malicious", "threat actor", "compromise")
+
+# Prices of a thousand tokens in and out by a part of the model's name (the first that fits; others cost as the first).
+MODEL_PRICES = (("gpt-4o-mini", 0.00015, 0.0006), ("gpt-4o", 0.005, 0.015), ("gpt-4-turbo", 0.01, 0.03), ("gpt-3.5-turbo", 0.0005, 0.0015))
+# Token limits of agents and the settings that change them.
+TOKEN_LIMITS = {"summarize": 3500, "entity": 4000, "ioc": 3500, "cve": 3500, "mitre": 3500, "geo_motivation": 3500, "cyber": 3000, "general": 3500}
+TOKEN_SETTINGS = {
+    "summarize": "LLM_SUMMARIZE_MAX_TOKENS", "entity": "LLM_ENTITY_MAX_TOKENS", "ioc": "LLM_IOC_MAX_TOKENS", "cve": "LLM_CVE_MAX_TOKENS",
+    "mitre": "LLM_MITRE_MAX_TOKENS", "geo_motivation": "LLM_GEO_MOTIVATION_MAX_TOKENS", "cyber": "LLM_CYBER_MAX_TOKENS", "general": "LLM_DEFAULT_MAX_TOKENS",
+}
+
+# Lines that a cut keeps first, what stands between chunks and for none, headers of printed pages, words of advice.
+PRIORITY_LINE = r"\bCVE-\d{4}-\d+\b|(?i:\b(?:APT|UNC)\d+\b)|\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b|\b[a-fA-F0-9]{32,64}\b|https?://[^\s]+"
+CHUNK_SEPARATOR = "\n\n--- CHUNK SEPARATOR ---\n\n"
+NO_RELEVANT = "No cybersecurity-relevant content found in the document."
+PDF_HEADER = r"^[A-Z][A-Z\s]{2,}$|^\d+\.\s+[A-Z]|^(?:CHAPTER|SECTION|PART)\s+\d+|^(?:ABSTRACT|INTRODUCTION|BACKGROUND|METHODOLOGY|RESULTS|DISCUSSION|CONCLUSION)"
+ADVICE = r"(?i)\b(?:apply|update|upgrade|patch|disable|enable|block|monitor|restrict|isolate|rotate|reset|review|install|recommend(?:ed|s)?|should|must)\b"
+# Stages of an attack, levels of tension and escalation, motives beyond the rules', words that name no entity.
+KILL_CHAIN = ("initial_access", "execution", "persistence", "defense_evasion", "credential_access", "discovery", "lateral_movement", "collection", "command_control", "exfiltration", "impact")
+TENSION_LEVELS = ("low", "medium", "high", "critical")
+ESCALATION_LEVELS = ("low", "medium", "high")
+MOTIVES = ("financial", "espionage", "hacktivism", "extortion", "sabotage", "destabilization", "unknown")
+NO_ENTITIES = ("malware", "ransomware", "trojan", "backdoor", "attacker", "attackers", "threat actor", "threat actors", "hackers", "users", "organizations", "companies", "system", "software", "unknown")
+# Words of keys that a cut of flattened JSON keeps first, and keys that tell what a JSON text is about.
+IMPORTANT_KEYS = ("title", "name", "type", "id", "description", "summary", "url", "link", "date", "time", "value", "content")
+KEY_FIELDS = ("title", "name", "subject", "info", "description", "summary", "message", "content", "data")
+
+# Indicator pattern lines and the values in them.
+STIX_BODY = r"STIX_INDICATOR_PATTERN:\s*\[([^\]]+)\]"
+STIX_VALUES = {
+    "domain": r"domain-name:value\s*=\s*'([^']+)'", "ipv4": r"ipv4-addr:value\s*=\s*'([^']+)'", "ipv6": r"ipv6-addr:value\s*=\s*'([^']+)'", "url": r"url:value\s*=\s*'([^']+)'",
+    "md5": r"file:hashes\.'?MD5'?\s*=\s*'([^']+)'", "sha1": r"file:hashes\.'?SHA-1'?\s*=\s*'([^']+)'", "sha256": r"file:hashes\.'?SHA-256'?\s*=\s*'([^']+)'", "sha512": r"file:hashes\.'?SHA-512'?\s*=\s*'([^']+)'",
+    "excluded": r"(?:x509-certificate:serial_number|ethernet-addr:value)\s*=\s*'([^']+)'",
+}

@@ -59,7 +59,7 @@ def with_neighbours(chunks: DataFrame) -> DataFrame:
     own = Window.partitionBy("doc_id").orderBy("chunk_index")
     chunk_id = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
     out = chunks.withColumn("chunk_id", chunk_id).withColumn("chunk_total", F.count("*").over(Window.partitionBy("doc_id")))
-    return out.withColumn("prev_chunk_id", F.lag("chunk_id").over(own)).withColumn("next_chunk_id", F.lead("chunk_id").over(own))
+    return out.withColumn("prev_chunk_id", F.lag("chunk_id").over(own)).withColumn("next_chunk_id", F.lit(None).cast("string"))
 
 
 def paragraph_chunks(text: Column, most_tokens: int = 400) -> Column:

@@ -9,9 +9,12 @@ from ..functions.classify import severity_rank
 from ..functions.text import smart_key
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The row of each key that comes first in the order given (ties: any). One shuffle; extra columns stay."""
-    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rank = 1").drop("_rank")
+def latest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """The row of each key with the greatest values of the columns `by` (ties: any; null keys form a key). One shuffle of a row a key and
+    task, since the best row is aggregated in parts: a hot key is no single task's."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("_best"))
+    return best.select(*keys, "_best.*").select(*rows.columns)
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -35,6 +38,14 @@ def smart_distinct(rows: DataFrame, name: str, position: Column) -> DataFrame:
     return keyed.groupBy("name_key").agg(F.max_by("n", F.struct(F.length("n"), -F.col("p"))).alias(name), F.min("p").alias("position"), F.count("*").alias("variants"))
 
 
+def smart_list(names: Column) -> Column:
+    """A list with the variants of a name (see smart_key) merged: the longest, of equal ones the first, at the first one's place."""
+    trimmed = F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: F.coalesce(n, F.lit("")) != "")
+    keyed = F.transform(trimmed, lambda n, i: F.struct(smart_key(n).alias("k"), F.length(n).alias("size"), (-i).alias("at"), n.alias("n")))
+    keys = F.array_distinct(F.transform(keyed, lambda x: x["k"]))
+    return F.transform(keys, lambda k: F.array_max(F.transform(F.filter(keyed, lambda x: x["k"] == k), lambda x: F.struct(x["size"], x["at"], x["n"])))["n"])
+
+
 def merge_lists(*lists: Column, normalise=lambda c: c) -> Column:
     """Lists put together in order, normalised, without repeats or empty entries."""
     joined = F.transform(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)), normalise)
@@ -108,3 +119,11 @@ def merge_sources(first: DataFrame, second: DataFrame, key: str = "id") -> DataF
 def page(rows: DataFrame, key: str, after, size: int) -> DataFrame:
     """The next rows by key after a cursor (null: from the start)."""
     return (rows if after is None else rows.filter(F.col(key) > F.lit(after))).orderBy(key).limit(size)
+
+
+def mentions(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """key and name for each name that occurs in a text, in any case. Names are a vocabulary: they are brought together as one sorted
+    list (a row, whose size Spark reports) and looked for in each text, so texts are neither shuffled nor multiplied."""
+    every = names.select(F.lower(name).alias("_n")).filter("_n <> ''").distinct().agg(F.array_sort(F.collect_list("_n")).alias("_names"))
+    found = F.filter("_names", lambda n: F.contains(F.lower(F.col(text)), n))
+    return rows.join(F.broadcast(every)).select(key, F.explode(found).alias(name))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.indicators import matches, query_indicators
+from ..functions.indicators import has_indicator, indicators, matches, query_indicators
 
 DIMENSION = 384
 TOKEN = r"[A-Za-z0-9_\-.:/#]+"
@@ -13,7 +13,14 @@ EXACT_SCORE = 1.5
 
 
 def _bucket(digest: Column, digits: int, dim: int) -> Column:
-    """A hexadecimal digest modulo dim, by limbs of seven digits."""
+    """A hexadecimal digest modulo dim. Three times a power of two up to 256 needs the last two digits and the sum of digits (16 leaves 1
+    modulo 3); other sizes go by limbs of seven digits."""
+    two = dim // 3
+    if dim % 3 == 0 and two & (two - 1) == 0 and 2 <= two <= 256:
+        low = F.conv(F.substring(digest, digits - 1, 2), 16, 10).cast("int") % two
+        ones, twos = (F.lit(digits) - F.length(F.translate(digest, letters, "")) for letters in ("147ad", "258be"))
+        inverse = pow(two, -1, 3)
+        return (low + two * F.pmod((ones + 2 * twos - low) * inverse, F.lit(3))).cast("long")
     out = F.lit(0).cast("long")
     for at in range(0, digits, 7):
         size = min(7, digits - at)
@@ -22,18 +29,23 @@ def _bucket(digest: Column, digits: int, dim: int) -> Column:
 
 
 def _sign(digest: Column, digits: int) -> Column:
-    return F.when(F.conv(F.substring(digest, digits, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
+    return F.when(F.substring(digest, digits, 1).isin(*"13579bdf"), 1.0).otherwise(-1.0)
 
 
-def embed(rows: DataFrame, key: str, text: str, dim: int = DIMENSION) -> DataFrame:
-    """Sparse unit vectors by signed feature hashing: key, bucket, weight. Each token adds to two buckets. Texts without tokens
-    have no rows. Tokens are counted per row first, so a frequent word is hashed once a text."""
+def weights(rows: DataFrame, key: str, text: str, dim: int = DIMENSION) -> DataFrame:
+    """Sparse vectors by signed feature hashing, not yet of unit length: key, bucket, w. Each token adds to two buckets. Texts without
+    tokens have no rows. Tokens are counted per row first, so a frequent word is hashed once a text."""
     tokens = rows.select(key, F.explode(matches(F.lower(F.col(text)), TOKEN)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
     h1, h2 = F.md5(F.col("token").cast("binary")), F.sha1(F.col("token").cast("binary"))
-    parts = F.explode(F.array(F.struct(_bucket(h1, 32, dim).alias("bucket"), (_sign(h1, 32) * F.col("n")).alias("w")), F.struct(_bucket(h2, 40, dim).alias("bucket"), (_sign(h2, 40) * F.col("n")).alias("w"))))
-    sums = tokens.select(key, parts.alias("p")).groupBy(key, F.col("p.bucket").alias("bucket")).agg(F.sum("p.w").alias("w")).filter("w <> 0")
-    norm = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return sums.join(norm, key).select(key, "bucket", (F.col("w") / F.col("norm")).alias("weight"))
+    hashed = tokens.select(key, "n", h1.alias("h1"), h2.alias("h2"))
+    parts = F.explode(F.array(F.struct(_bucket(F.col("h1"), 32, dim).alias("bucket"), (_sign(F.col("h1"), 32) * F.col("n")).alias("w")), F.struct(_bucket(F.col("h2"), 40, dim).alias("bucket"), (_sign(F.col("h2"), 40) * F.col("n")).alias("w"))))
+    return hashed.select(key, parts.alias("p")).groupBy(key, F.col("p.bucket").alias("bucket")).agg(F.sum("p.w").alias("w")).filter("w <> 0")
+
+
+def embed(rows: DataFrame, key: str, text: str, dim: int = DIMENSION) -> DataFrame:
+    """The vectors of `weights` at unit length: key, bucket, weight. A row's buckets, `dim` at most, come together once for their norm."""
+    each = weights(rows, key, text, dim).groupBy(key).agg(F.collect_list(F.struct("bucket", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return each.select(key, "norm", F.explode("v").alias("x")).select(key, "x.bucket", (F.col("x.w") / F.col("norm")).alias("weight"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -74,20 +86,35 @@ def payload_filter(tags: list[str] = (), source: str | None = None, doc_id=None,
     return out
 
 
-def hybrid_search(documents: DataFrame, terms: str, k: int = 10, least: float = 0.0) -> DataFrame:
+def exact_hits(documents: DataFrame, terms: str) -> DataFrame:
+    """doc_id of the documents that hold an indicator of the search string, in any case."""
+    wanted = query_indicators(F.lit(terms))
+    values = F.filter(F.concat(wanted["cves"], wanted["ips"], wanted["hashes"], wanted["domains"]), lambda v: v != "")
+    return documents.filter(F.exists(values, lambda v: F.contains(F.upper("text"), F.upper(v)))).select("doc_id")
+
+
+def merged(documents: DataFrame, terms: str, scored: DataFrame, k: int, least: float = 0.0, has_ioc: bool = False) -> DataFrame:
+    """doc_id, score, stage: exact hits first (score 1.5), then the scored documents (doc_id, score) that reach the least score, and with
+    has_ioc hold an indicator themselves; each document once, k in all, by stage, score and doc_id."""
+    exact = exact_hits(documents, terms).select("doc_id", F.lit(EXACT_SCORE).alias("score"), F.lit(0).alias("stage"))
+    near = scored.filter(F.col("score") >= least).select("doc_id", F.col("score").cast("double").alias("score"), F.lit(1).alias("stage"))
+    if has_ioc:
+        found = documents.filter(has_indicator(indicators(F.col("text")), F.array().cast("array<string>"))).select("doc_id")
+        near = near.join(found, "doc_id", "left_semi")
+    first = exact.unionByName(near).groupBy("doc_id").agg(F.min_by(F.struct("score", "stage"), "stage").alias("h"))
+    return first.select("doc_id", "h.score", "h.stage").orderBy("stage", F.desc(F.round("score", 9)), "doc_id").limit(k)
+
+
+def hybrid_search(documents: DataFrame, terms: str, k: int = 10, least: float = 0.0, vectors: DataFrame | None = None, has_ioc: bool = False) -> DataFrame:
     """doc_id, score, stage: documents that hold an indicator of the search string first (score 1.5), then by cosine of
-    feature-hash vectors; each document once, k in all."""
+    feature-hash vectors; each document once, k in all. Give the stored vectors (`embed` of the documents) where there are many
+    searches: without them each search hashes the whole corpus."""
     spark = documents.sparkSession
     query = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(terms).alias("text"))
-    wanted = query_indicators(F.lit(terms))
-    values = F.filter(F.concat(wanted["cves"], wanted["ips"], wanted["hashes"], wanted["domains"]), lambda v: v != "")
-    exact = documents.filter(F.exists(values, lambda v: F.contains(F.upper("text"), F.upper(v)))).select("doc_id", F.lit(EXACT_SCORE).alias("score"), F.lit(0).alias("stage"))
     q = embed(query, "doc_id", "text").select("bucket", F.col("weight").alias("q"))  # two buckets a word of the search string
-    near = embed(documents, "doc_id", "text").join(F.broadcast(q), "bucket").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
-    near = near.filter(F.col("score") >= least).withColumn("stage", F.lit(1))
-    first = Window.partitionBy("doc_id").orderBy("stage")
-    both = exact.unionByName(near).withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_first")
-    return both.orderBy("stage", F.desc(F.round("score", 9)), "doc_id").limit(k)
+    vectors = embed(documents, "doc_id", "text") if vectors is None else vectors
+    near = vectors.join(F.broadcast(q), "bucket").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    return merged(documents, terms, near, k, least, has_ioc)
 
 
 def hybrid_score(dense: Column, sparse: Column, exact: Column, age_days: Column, rate: float = 0.05) -> Column:

@@ -2,55 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, indicators, network, text, urls
+from ..functions import classify, fields, indicators, network, text, urls
 from ..functions import patterns as P
-from ..operators import chunking, entities, parsing, relational, search
+from ..operators import chunking, entities, parsing, relational, search, stores
 from ..sources import readers, writers
 from ..streaming import feeds
 from .artifacts import artifacts
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Query]:
-    """Registers a function of a table reader under its own name, with its SQL if there is one."""
-
-    def add(f: Callable[..., DataFrame]) -> Query:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: readers.table(spark, sf_dir, name))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _q(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-def _all(pattern: str, column: str = "text", group: int = 0) -> str:
-    return f"regexp_extract_all({column}, {_q(pattern)}, {group})"
-
-
-def _join(listed: str) -> str:
-    return f"coalesce(array_to_string(list_sort(list_distinct({listed})), '|'), '')"
-
-
-def labelled(lists: dict[str, F.Column]) -> F.Column:
-    """All entries of the lists as kind and value."""
-
-    def pairs(kind: str, values: F.Column) -> F.Column:
-        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-
-    return F.flatten(F.array(*(pairs(k, v) for k, v in lists.items())))
-
+from .register import ORACLES, QUERIES, _all, _join, _q, labelled, query
 
 # Derived texts: the same expression in both engines.
 ADVISORY = (
@@ -379,14 +340,9 @@ def _mod(digest: str, digits: int) -> str:
         v AS (SELECT doc_id, b, sum(w) AS w FROM (SELECT doc_id, b1 AS b, w1 * n AS w FROM k JOIN h USING (token) UNION ALL SELECT doc_id, b2, w2 * n FROM k JOIN h USING (token)) GROUP BY ALL HAVING sum(w) <> 0)
         SELECT doc_id, count(*) AS buckets, CAST(round(sum(b * w)) AS BIGINT) AS checksum, CAST(round(sum(w * w)) AS BIGINT) AS square FROM v GROUP BY doc_id""")
 def embed_feature_hash(t) -> DataFrame:
-    v = search.embed(t("documents"), "doc_id", "text")
-    least = F.min(F.abs("weight"))  # weights are whole numbers over the norm, and the squares of weights sum to one
-    norm = v.groupBy("doc_id").agg(F.count("*").alias("buckets"), F.sum(F.col("bucket") * F.col("weight")).alias("c"), least.alias("unit"), F.sum(F.col("weight") * F.col("weight")).alias("one"))
-    raw = t("documents").select("doc_id", F.explode(indicators.matches(F.lower("text"), search.TOKEN)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    h1, h2 = F.md5(F.col("token").cast("binary")), F.sha1(F.col("token").cast("binary"))
-    parts = F.explode(F.array(F.struct(search._bucket(h1, 32, 384).alias("b"), (search._sign(h1, 32) * F.col("n")).alias("w")), F.struct(search._bucket(h2, 40, 384).alias("b"), (search._sign(h2, 40) * F.col("n")).alias("w"))))
-    squares = raw.select("doc_id", parts.alias("p")).groupBy("doc_id", "p.b").agg(F.sum("p.w").alias("w")).groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("sq"))
-    return norm.join(squares, "doc_id").select("doc_id", "buckets", F.round(F.col("c") * F.sqrt("sq")).cast("long").alias("checksum"), F.round("sq").cast("long").alias("square"))
+    v = search.weights(t("documents"), "doc_id", "text")
+    sums = v.groupBy("doc_id").agg(F.count("*").alias("buckets"), F.sum(F.col("bucket") * F.col("w")).alias("c"), F.sum(F.col("w") * F.col("w")).alias("s"))
+    return sums.select("doc_id", "buckets", F.round("c").cast("long").alias("checksum"), F.round("s").cast("long").alias("square"))
 
 
 _TOP = "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings"
@@ -414,8 +370,8 @@ def vec_threshold(t) -> DataFrame:
 
 @query("SELECT len(embedding) AS dim, count(*) AS n FROM embeddings GROUP BY 1")
 def vec_dim_guard(t) -> DataFrame:
-    checked = t("embeddings").withColumn("ok", F.assert_true(F.size("embedding") == 64))
-    return checked.groupBy(F.size("embedding").cast("long").alias("dim")).agg(F.count("*").alias("n"), F.first("ok").alias("ok")).drop("ok")
+    size = F.size(fields.checked_vector(F.col("embedding"), 64)).cast("long")
+    return t("embeddings").groupBy(size.alias("dim")).agg(F.count("*").alias("n"))
 
 
 @query()
@@ -493,13 +449,13 @@ def backfill_null_ts(t) -> DataFrame:
 
 @query("SELECT o_orderstatus, CASE WHEN o_totalprice > 200000 THEN 'reviewed' ELSE 'open' END AS state, count(*) AS n FROM orders GROUP BY 1, 2")
 def set_payload_by_filter(t) -> DataFrame:
-    rows = t("orders").withColumn("state", F.lit("open")).withColumn("state", F.when(F.col("o_totalprice") > 200000, "reviewed").otherwise(F.col("state")))
+    rows = stores.set_payload(t("orders").withColumn("state", F.lit("open")), F.col("o_totalprice") > 200000, state=F.lit("reviewed"))
     return rows.groupBy("o_orderstatus", "state").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def upsert_last_wins(t) -> DataFrame:
-    return relational.latest(t("events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+    return relational.latest(t("events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query(f"WITH u AS ({_CANON}) SELECT page_id, canonical_url FROM u WHERE canonical_url NOT IN (SELECT canonical_url FROM u WHERE page_id % 3 = 0)")
@@ -622,7 +578,7 @@ def repair_json_lines(t) -> DataFrame:
 @query("SELECT page_id, 'text/html' AS mime, octet_length(encode(html)) AS n_bytes, sha256(html) AS sha256 FROM pages")
 def fetched_pages(t) -> DataFrame:
     got = readers.fetched(F.col("html"))
-    return t("pages").select("page_id", readers.media_type(F.concat(F.lit("<!DOCTYPE html>"), F.left("html", F.lit(200))), F.lit("text/html; charset=utf-8"), F.col("url")).alias("mime"), got["n_bytes"].cast("long").alias("n_bytes"), got["sha256"].alias("sha256"))
+    return t("pages").select("page_id", readers.media_type(F.col("html"), F.lit("text/html; charset=utf-8"), F.col("url")).alias("mime"), got["n_bytes"].cast("long").alias("n_bytes"), got["sha256"].alias("sha256"))
 
 
 @query("SELECT n.n_nationkey AS id, 'cti_' || n.n_nationkey || '.json' AS path FROM nation n")
@@ -659,3 +615,8 @@ def artifacts_columns(t) -> DataFrame:
     lists = [c for c, kind in rows.dtypes if kind.startswith("array")]
     sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in lists]
     return rows.select(*(F.sha2(F.array_join(c, "\n").cast("binary"), 256).alias(c) if c in lists else c for c in rows.columns), *sizes)
+
+
+from . import extended  # noqa: E402  registers its queries too
+
+__all__ = ["ORACLES", "QUERIES", "extended"]
