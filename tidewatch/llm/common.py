@@ -100,7 +100,10 @@ def gathered(df: DataFrame) -> dict[str, np.ndarray]:
     """The columns of a table of bounded size, brought to the driver as Arrow batches."""
     with tidy(df.sparkSession):
         table = df.select("*").toArrow()
-    return {name: table.column(name).to_numpy() for name in table.column_names}
+    out = {name: table.column(name).to_numpy() for name in table.column_names}
+    del table
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -160,19 +163,25 @@ def id_bit(column: str):
     return F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS)).alias("bit")
 
 
-def _in_sieve(df: DataFrame, bit: str, sieve: np.ndarray, flag: str) -> DataFrame:
-    """df with a flag that tells whether a bit number is in the sieve. Its words are joined as a small broadcast table."""
+def sieve_words(bits: DataFrame) -> DataFrame:
+    """The sieve of sieve_of as a written table of its words that are not 0 (word, mask): it stays with Spark and can be broadcast."""
+    bit = bits.columns[0]
+    words = bits.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({quoted(bit)} & 63 as int)))").alias("mask"))
+    return stage_table(words, "sieve")
+
+
+def _in_sieve(df: DataFrame, bit: str, words: DataFrame, flag: str) -> DataFrame:
+    """df with a flag that tells whether a bit number is in the sieve, whose words are joined as a small broadcast table."""
     word, mask = free(df, "word_", "mask_")
-    words = bits_table(df.sparkSession, sieve).toDF(word, mask)
-    joined = df.withColumn(word, F.shiftright(bit, 6)).join(F.broadcast(words), word, "left")
+    joined = df.withColumn(word, F.shiftright(bit, 6)).join(F.broadcast(words.toDF(word, mask)), word, "left")
     return joined.withColumn(flag, F.expr(f"coalesce(shiftright({mask}, cast({bit} & 63 as int)) & 1, 0) = 1")).drop(word, mask)
 
 
-def sieved(df: DataFrame, key: str, sieve: np.ndarray, other: np.ndarray | None = None, within: bool = False) -> DataFrame:
+def sieved(df: DataFrame, key: str, words: DataFrame, other: DataFrame | None = None, within: bool = False) -> DataFrame:
     """Rows of df whose key may be in the sieve (of id_bit numbers): no row of a key in it is lost, a few others may pass. With
     another sieve, of these rows those that may be in it (within), or those that are surely not. No Python worker takes part."""
     bit, flag = free(df, "bit_", "flag_")
-    out = _in_sieve(df.withColumn(bit, id_bit(key)), bit, sieve, flag).filter(flag).drop(flag)
+    out = _in_sieve(df.withColumn(bit, id_bit(key)), bit, words, flag).filter(flag).drop(flag)
     if other is not None:
         out = _in_sieve(out, bit, other, flag).filter(F.col(flag) == F.lit(within)).drop(flag)
     return out.select(*map(quoted, df.columns))

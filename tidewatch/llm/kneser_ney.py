@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, free, id_bit, quoted, sieve_of, sieved, spread, stage_table, without
+from .common import drop_table, free, id_bit, quoted, sieve_words, sieved, spread, stage_table, without
 from .sharded_grams import GramModel, count_grams, fit_grams, score_grams
 
 #: Characters of average text that are added to each document, so that short ones need strong evidence.
@@ -57,6 +57,7 @@ def fit(trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN)
     of_half = fit_grams(counts.filter("n0 > 0").select("gram", F.col("n0").alias("n")), discounts)
     scored = stage_table(score_grams(other, of_half, ["lang"]), "held-out")
     drop_table(of_half.table)
+    del of_half  # its rows in the driver make room for the next model's
     grams = fit_grams(counts.select("gram", (F.col("n0") + F.col("n1")).alias("n")), discounts)
     drop_table(counts)
     sums = scored.agg(F.sum("nll").alias("nll"), F.sum("n_symbols").alias("n")).first()
@@ -104,8 +105,8 @@ def trusted_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     join of ids alone). A document in the first and not in the second is good for certain; only the few in both are joined."""
     good = stage_table(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "good")
     docs = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("doc_id is not null"))
-    first = sieve_of(good.select(id_bit("doc_id")))
+    first = sieve_words(good.select(id_bit("doc_id")))
     ids = sieved(documents.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null"), "doc_id", first)
-    second = sieve_of(ids.join(good, "doc_id", "left_anti").select(id_bit("doc_id")))
+    second = sieve_words(ids.join(good, "doc_id", "left_anti").select(id_bit("doc_id")))
     certain = sieved(docs, "doc_id", first, second)
     return certain.unionByName(sieved(docs, "doc_id", first, second, within=True).join(good, "doc_id", "left_semi"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, id_bit, mix64, row_runs, sieve_of, sieved, spread, stage_table, utf8_buffers, without
+from .common import free, id_bit, mix64, row_runs, sieve_words, sieved, spread, stage_table, utf8_buffers, without
 from .components import components
 
 WORDS = 5
@@ -192,7 +192,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shingles_of(ends: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, shingles of the documents in ends (doc_id, distinct), made anew from their texts: a sieve of fixed size keeps most
     other texts from being shuffled."""
-    some = sieved(spread(docs), "doc_id", sieve_of(ends.select(id_bit("doc_id"))))
+    some = sieved(spread(docs), "doc_id", sieve_words(ends.select(id_bit("doc_id"))))
     return stage_table(some.join(ends, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
 
 

@@ -147,9 +147,9 @@ def _cache(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1), batch.column(2)], names=["key", "delta", "backoff"])
 
     rows = gathered(table.filter((level >= least) | share).select("gram", "delta", "backoff").mapInArrow(run, "key long, delta double, backoff double"))
-    keys = rows["key"].astype(np.int64).view(np.uint64)
+    keys = rows.pop("key").astype(np.int64, copy=False).view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], rows["delta"][order].astype(float), rows["backoff"][order].astype(float)
+    return keys[order], rows.pop("delta").astype(float, copy=False)[order], rows.pop("backoff").astype(float, copy=False)[order]
 
 
 def _sieve_bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,6 +313,7 @@ def score_grams(documents: DataFrame, model: GramModel, keep: list[str]) -> Data
                 number += count
 
     scored = stage_table(spread(rows).mapInArrow(run, schema), "scored")
+    shared.destroy()
     rest = scored.filter(f"size({other}) > 0").select(row, F.explode(other).alias("x")).select(row, "x.gram", "x.whole", "x.n")
     part = F.when(F.col("whole"), F.col("delta")).otherwise(F.col("backoff"))
     added = rest.join(model.table, "gram").groupBy(row).agg(F.sum(F.col("n") * part).alias(more))
