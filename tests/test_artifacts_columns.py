@@ -26,7 +26,7 @@ def test_empty_and_null_texts_equal_the_sql(spark, monkeypatch):
     docs = spark.createDataFrame([(i, x, "s") for i, x in TEXTS], "doc_id long, text string, source string")
     monkeypatch.setattr(registry.readers, "table", lambda *_: docs)
     con = duckdb.connect()
-    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    con.executemany("INSERT INTO documents VALUES (?, ?)", TEXTS)
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, 's')", TEXTS)
     rows = registry.QUERIES["artifacts_pipeline"](spark, "").collect()
     assert sorted(tuple(r) for r in rows) == sorted(con.sql(registry.ORACLES["artifacts_pipeline"]).fetchall())

@@ -80,11 +80,13 @@ def geography(text: Column) -> Column:
 def explicit_techniques(text: Column) -> Column:
     """Technique ids that have a word of context within 50 characters before or after, sorted. Each id is looked at by itself, so ids
     close together share their context. Ids in paths, in versions or behind a product's name are no techniques."""
-    before = "|".join(f"{w}(?s:.){{0,{50 - len(w.replace(chr(92), ''))}}}" for w in P.TECHNIQUE_WORDS)
-    after = "|".join(f"(?s:.){{0,{50 - len(w.replace(chr(92), ''))}}}{w}" for w in P.TECHNIQUE_WORDS)
-    one = rf"(?<!{P.TECHNIQUE_NOT_BEFORE})\bT\d{{4}}(?:\.\d{{3}})?\b(?!{P.TECHNIQUE_NOT_AFTER})"
-    found = F.concat(matches(text, rf"(?<=(?i:{before})){one}"), matches(text, rf"{one}(?=(?i:{after}))"))
-    return F.array_sort(F.array_distinct(found))
+    before = "|".join(f"{w}(?s:.){{0,{50 - len(w)}}}" for w in P.TECHNIQUE_WORDS)
+    after = "|".join(f"(?s:.){{0,{50 - len(w)}}}{w}" for w in P.TECHNIQUE_WORDS)
+    name = r"T\d{4}(?:\.\d{3})?"
+    one = rf"(?<!{P.TECHNIQUE_NOT_BEFORE})\b{name}\b(?!{P.TECHNIQUE_NOT_AFTER})"
+    near = rf"{one}(?:(?=(?i:{after}))|(?<=(?i:{before}){name}))"  # what stands around is looked at where an id is found
+    found = F.array_sort(F.array_distinct(matches(text, near)))
+    return F.when(text.rlike(P.TECHNIQUE), found).otherwise(F.array().cast("array<string>"))
 
 
 def best_techniques(rows: DataFrame, key: str) -> DataFrame:
@@ -124,7 +126,7 @@ def detect_kind(text: Column, mime: Column) -> Column:
         w, found = P.KIND_PATTERNS[kind]
         return F.least(F.lit(1.0), F.round(sum((F.when(of.rlike(p), w).otherwise(0.0) for p in found), F.lit(0.0)), 2))
 
-    is_json = F.try_parse_json(text).isNotNull() & F.trim(text).rlike(r"^[\[{]")
+    is_json = F.when(F.trim(text).rlike(r"^[\[{]"), F.try_parse_json(text).isNotNull()).otherwise(False)
     stix, misp, rss = weight("STIX", text), weight("MISP", head), weight("RSS", head)
     html = F.when(low.contains("html"), 0.7).otherwise(weight("HTML", head))
     pdf = F.when(low.contains("pdf") | text.startswith("%PDF"), 0.9).otherwise(0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -374,9 +376,19 @@ def vec_dim_guard(t) -> DataFrame:
     return t("embeddings").groupBy(size.alias("dim")).agg(F.count("*").alias("n"))
 
 
-@query()
+_VECTORS = f"""k AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {_q(search.TOKEN)})) AS token FROM x) GROUP BY ALL),
+        d AS (SELECT token, md5(token) AS m, sha1(token) AS s FROM (SELECT DISTINCT token FROM k)),
+        h AS (SELECT token, {_mod('m', 32)} AS b1, {_mod('s', 40)} AS b2, CASE WHEN CAST('0x' || m[32] AS INTEGER) % 2 = 1 THEN 1.0 ELSE -1.0 END AS w1, CASE WHEN CAST('0x' || s[40] AS INTEGER) % 2 = 1 THEN 1.0 ELSE -1.0 END AS w2 FROM d),
+        v AS (SELECT doc_id, b, CAST(sum(w) AS DOUBLE) AS w FROM (SELECT doc_id, b1 AS b, w1 * n AS w FROM k JOIN h USING (token) UNION ALL SELECT doc_id, b2, w2 * n FROM k JOIN h USING (token)) GROUP BY ALL HAVING sum(w) <> 0)"""
+_TERMS = "the clown at 227.5.221.1"
+
+
+@query(f"""WITH x AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1, '{_TERMS}'), {_VECTORS}, n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1), q AS (SELECT b, w / norm AS q FROM v JOIN n USING (doc_id) WHERE doc_id = -1),
+        e AS (SELECT doc_id FROM documents WHERE contains(upper(text), '227.5.221.1')), s AS (SELECT v.doc_id, sum(w / norm * q) AS score FROM v JOIN n USING (doc_id) JOIN q USING (b) WHERE v.doc_id <> -1 GROUP BY 1)
+        SELECT doc_id, CAST(stage AS INTEGER) AS stage, round(score, 6) AS score FROM (SELECT doc_id, 0 AS stage, CAST(1.5 AS DOUBLE) AS score FROM e UNION ALL SELECT doc_id, 1, score FROM s WHERE score >= 0 AND doc_id NOT IN (SELECT doc_id FROM e))
+        ORDER BY stage, round(score, 9) DESC, doc_id LIMIT 10""")
 def search_hybrid(t) -> DataFrame:
-    return search.hybrid_search(t("documents"), "the clown at 227.5.221.1").select("doc_id", "stage", F.round("score", 6).alias("score"))
+    return search.hybrid_search(t("documents"), _TERMS).select("doc_id", "stage", F.round("score", 6).alias("score"))
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
@@ -413,7 +425,14 @@ def html_to_markdown(t) -> DataFrame:
     return parsing.html_markdown(t("pages"))
 
 
-@query()
+_TITLED = "array_to_string(list_transform(string_split(lower(t), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+_MARKDOWN_LINE = f"""CASE WHEN t = '' THEN '' WHEN length(t) > 5 AND upper(t) = t AND lower(t) <> t AND NOT regexp_matches(t, '[.,!?]') THEN '## ' || {_TITLED} WHEN regexp_matches(t, '^[A-Z][A-Za-z\\s]+:?\\s*$') AND length(t) < 50 THEN '### ' || t
+    WHEN regexp_matches(t, '^[-*•]\\s+') THEN '- ' || regexp_replace(t, '^[-*•]\\s+', '') WHEN regexp_matches(t, '^\\d+[.)]\\s+') THEN '1. ' || regexp_replace(t, '^\\d+[.)]\\s+', '') ELSE regexp_replace(t, '(https?://[^\\s]+)', '[\\1](\\1)', 'g') END"""
+
+
+@query(f"""WITH l AS (SELECT doc_id, i, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+        j AS (SELECT doc_id, string_agg({_MARKDOWN_LINE}, chr(10) ORDER BY i) AS m FROM l GROUP BY doc_id)
+        SELECT doc_id, md5(regexp_replace(regexp_replace(m, '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM j""")
 def text_to_markdown(t) -> DataFrame:
     return t("documents").select("doc_id", F.md5(text.text_to_markdown(F.col("text")).cast("binary")).alias("digest"))
 
@@ -513,18 +532,36 @@ def stream_dedup_counts(t) -> DataFrame:
     return feeds.window_counts(t("events"), "ts", "event_type").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+def _spans(label: str) -> str:
+    """Places of a pattern's matches: the text is split at them, so the parts before a match and the matches before it give its start."""
+    pattern = _q(entities.SPAN_PATTERNS[label].replace("(?:\\bIP[: ]+)?", ""))
+    start = "CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER)"
+    return f"""SELECT doc_id, {start} AS start, {start} + CAST(length(m[i]) AS INTEGER) AS stop, '{label}' AS label, m[i] AS value FROM (SELECT doc_id, p, m, unnest(range(1, len(m) + 1)) AS i
+        FROM (SELECT doc_id, string_split_regex(text, {pattern}) AS p, regexp_extract_all(text, {pattern}) AS m FROM documents))"""
+
+
+@query(" UNION ALL ".join(map(_spans, entities.SPAN_PATTERNS)))
 def ner_spans(t) -> DataFrame:
     return entities.spans(t("documents"))
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT doc_id, unnest(string_split_regex(text, '\\n\\s*\\n')) AS p, unnest(range(len(string_split_regex(text, '\\n\\s*\\n')))) AS i FROM documents),
+        w AS (SELECT doc_id, list_filter(list_transform(flatten(list(CASE WHEN length(p) // 4 <= 400 THEN [p] ELSE string_split(regexp_replace(p, '\\.\\s+', '.' || chr(1), 'g'), chr(1)) END ORDER BY i)), lambda x: trim(x, ' ')), lambda x: x <> '') AS parts FROM b GROUP BY doc_id),
+        r AS (SELECT doc_id, parts, CAST(1 AS BIGINT) AS i, parts[1] AS opened, CAST(NULL AS VARCHAR) AS done FROM w WHERE len(parts) > 0
+              UNION ALL SELECT doc_id, parts, i + 1, CASE WHEN i + 1 > len(parts) THEN NULL WHEN fits THEN opened || chr(10) || chr(10) || parts[i + 1] ELSE parts[i + 1] END, CASE WHEN i + 1 > len(parts) OR NOT fits THEN opened END
+              FROM (SELECT *, coalesce(length(opened || chr(10) || chr(10) || parts[i + 1]) // 4 <= 400, false) AS fits FROM r WHERE opened IS NOT NULL))
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, CAST(length(done) AS INTEGER) AS size, md5(done) AS digest FROM r WHERE done IS NOT NULL""")
 def paragraph_chunks(t) -> DataFrame:
     rows = t("documents").select("doc_id", F.posexplode(chunking.paragraph_chunks(F.col("text"))).alias("chunk_index", "text"))
     return rows.select("doc_id", "chunk_index", F.length("text").alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, unnest(string_split('### ' || text, chr(10))) AS line, unnest(range(len(string_split('### ' || text, chr(10))))) AS i FROM documents),
+        m AS (SELECT *, length(regexp_extract(trim(line, ' '), '^(#{1,6})', 1)) AS marks FROM l),
+        h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m WHERE marks > 0),
+        c AS (SELECT doc_id, i, line, CAST(min(marks - k) OVER (PARTITION BY doc_id ORDER BY k) + k AS BIGINT) AS run, k, marks FROM h),
+        o AS (SELECT m.doc_id, m.i, CASE WHEN c.i IS NULL THEN m.line ELSE repeat('#', CAST(least(c.marks, least(c.run, c.k)) AS BIGINT)) || ' ' || trim(regexp_replace(trim(m.line, ' '), '^#{1,6}\\s*', ''), ' ') END AS line FROM m LEFT JOIN c ON c.doc_id = m.doc_id AND c.i = m.i)
+        SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM o GROUP BY doc_id""")
 def markdown_headers(t) -> DataFrame:
     return t("documents").select("doc_id", F.md5(text.clamp_headers(F.concat(F.lit("### "), F.col("text"))).cast("binary")).alias("digest"))
 
@@ -602,15 +639,53 @@ def scroll_page(t) -> DataFrame:
     return relational.page(t("events").select("event_id", "event_type"), "event_id", 500, 50)
 
 
-@query("SELECT doc_id, sha256(text) AS content_sha256, length(text) > 0 AS has_text FROM documents")
+def _clean(listed: str) -> str:
+    """What healing makes of a list: trimmed, without repeats and empty entries, joined."""
+    return f"coalesce(array_to_string(list_filter(list_distinct(list_transform({listed}, lambda x: trim(x, ' '))), lambda x: x <> ''), chr(10)), '')"
+
+
+def _ordered(listed: str) -> str:
+    """The distinct entries of a list by their first place, joined."""
+    return f"array_to_string(list_filter({listed}, lambda x, i: list_position({listed}, x) = i), chr(10))"
+
+
+_KIND = f"""CASE WHEN greatest(s, m, r, h, j) < 0.2 THEN 'TEXT' WHEN s >= greatest(m, r, h, j) THEN 'STIX' WHEN m >= greatest(r, h, j) THEN 'MISP' WHEN r >= greatest(h, j) THEN 'RSS' WHEN h >= j THEN 'HTML' ELSE 'JSON' END"""
+_WEIGHTS = f"{_weight('STIX', 'text')} AS s, {_weight('MISP', 'left(text, 2048)')} AS m, {_weight('RSS', 'left(text, 2048)')} AS r, {_weight('HTML', 'left(text, 2048)')} AS h, 0 AS j"
+_URLS = f"list_filter(list_transform({_all(P.URL)}, lambda u: regexp_replace(u, '[.,;:!?)]+$', '')), lambda u: length(u) > 10 AND NOT regexp_matches(lower(u), '^https?://(?:www\\.)?(?:example\\.com|test\\.com|localhost)(?:[/:?#]|$)'))"
+_LISTED = {
+    "cves": _ordered(_all(P.CVE)), "ips": _ordered(_all(P.IPV4)), "domains": _ordered(_all(P.DOMAIN_PAIR)), "hashes": _ordered(f"list_filter(list_transform({_all(P.HASH_EXACT)}, lambda x: lower(x)), lambda x: replace(x, x[1], '') <> '')"),
+    "urls": _ordered(_URLS), "emails": _ordered(f"list_transform({_all(P.EMAIL)}, lambda x: lower(x))"), "techniques": _join(_all(P.TECHNIQUE)).replace("'|'", "chr(10)"),
+    "motivations": "array_to_string(CASE WHEN len(l) = 0 THEN ['unknown'] ELSE l END, chr(10))",
+}
+_MOTIVES = "list_filter([" + ", ".join(f"CASE WHEN {_matches(found, 'lower(text)')} THEN '{k}' END" for k, found in P.MOTIVATIONS.items()) + "], lambda x: x IS NOT NULL)"
+_FIELDS = ("title", *_LISTED)
+
+
+def _wide(pattern: str) -> str:
+    """A pattern whose word boundaries know all letters; DuckDB's own know ASCII ones alone."""
+    other = r"[^\p{L}\p{N}_]"
+    return re.sub(r"\\b(?=[A-Za-z(])", lambda _: f"(?:^|{other})", pattern).replace(r"\b", f"(?:$|{other})")
+
+
+_GEO = [f"regexp_matches(text, {_q(_wide(p))})" for p in (P.GEO_SINGAPORE, P.GEO_ASEAN)]
+
+
+@query(f"""SELECT * EXCLUDE (fields), round(len(list_filter(fields, lambda f: f <> '')) * 100.0 / {len(_FIELDS)}, 1) AS completeness, array_to_string(list_filter(list_transform(range(1, {len(_FIELDS) + 1}), lambda i: CASE WHEN fields[i] = '' THEN [{", ".join(f"'{f}'" for f in _FIELDS)}][i] END), lambda x: x IS NOT NULL), ',') AS missing FROM (
+        SELECT *, [{", ".join(_FIELDS)}] AS fields FROM (
+        SELECT doc_id, coalesce(source, '') AS source, sha256(text) AS content_sha256, has_text, {_KIND} AS kind, split_part(text, chr(10), 1) AS title, {", ".join(f"{v} AS {k}" for k, v in _LISTED.items())},
+        {_matches(P.TENSION, 'lower(text)')} AS high_tension_event, regexp_matches(text, {_q(P.CYBER_WORDS)}) AS cyber_related, regexp_matches(text, {_q(P.ZERO_DAY)}) AS zero_day_mention, regexp_matches(text, {_q(P.EXPLOITED)}) AS active_exploitation,
+        {_GEO[0]} AS affects_singapore, {_GEO[0]} OR {_GEO[1]} AS affects_asean,
+        CASE {" ".join(f"WHEN {_matches(found)} THEN {score}" for score, found in P.RELEVANCE)} ELSE 1 END AS relevance, (SELECT {_TOKENS} FROM (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t)) AS tokens
+        FROM (SELECT *, {_WEIGHTS}, {_MOTIVES} AS l FROM (SELECT doc_id, source, coalesce(text, '') AS text, length(text) > 0 AS has_text FROM documents))))""")
 def artifacts_pipeline(t) -> DataFrame:
+    """Every column of the plan, lists put together, so that nothing of it can be pruned."""
     rows = artifacts(t("documents"))
-    return rows.select("doc_id", F.when(F.col("has_text").isNotNull(), F.col("content_sha256")).alias("content_sha256"), "has_text")
+    return rows.select(*(F.array_join(c, "," if c == "missing" else "\n").alias(c) if kind.startswith("array") else F.col(c).cast("double").alias(c) if c == "completeness" else c for c, kind in rows.dtypes))
 
 
 @query()
 def artifacts_columns(t) -> DataFrame:
-    """Every column of the plan, lists as their size and digest; so nothing of it can be pruned."""
+    """Every column of the plan, lists as their size and digest."""
     rows = artifacts(t("documents"))
     lists = [c for c, kind in rows.dtypes if kind.startswith("array")]
     sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in lists]
