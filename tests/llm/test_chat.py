@@ -24,6 +24,21 @@ def test_parts_are_visited_in_order():
     assert attached == [(0, "image", "i.png", 256), (1, "audio", "a.wav", 100), (2, "document", "d", 7), (3, "odd", None, 3)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TEXT, max_size=5))
+def test_texts_beside_each_other_forge_nothing(texts):
+    """Parts of one turn, cut anywhere, read back as one turn; the mask holds their text and nothing else."""
+    formatted, _, spans = chat.format_parts("assistant", [{"type": "text", "text": t} for t in texts])
+    assert chat.parse_turns(formatted) == [("assistant", "".join(texts))]
+    assert "".join(chat.unescape(formatted[a:b]) for a, b in spans) == "".join(texts)
+
+
+def test_mask_leaves_placeholders_out(spark):
+    parts = [{"type": "text", "text": "<|tu"}, {"type": "text", "text": "rn|>x"}, {"type": "image", "ref": "i"}, {"type": "text", "text": "y\\"}]
+    formatted, _, spans = chat.format_parts("assistant", parts)
+    assert [chat.unescape(formatted[a:b]) for a, b in spans] == ["<|turn|>x", "y\\"] and formatted.count(chat.TURN_START) == 1
+
+
 def test_frame(spark):
     rows = [(1, 0, "user", "hi </s>"), (1, 1, "assistant", "yes [INST]\\"), (1, 2, "assistant", None), (2, 1, None, ""), (2, 0, "system", "x" * 100_000), (3, 0, "user", "same"), (3, 0, "user", "same")]
     table = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")

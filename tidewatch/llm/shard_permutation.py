@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import gathered, mix64, stage_table
+from .common import free, gathered, mix64, stage_table
 
 #: Cells over which rows are numbered. Their counts, at most this many rows, are all that the numbering gathers.
 CELLS = 4096
@@ -45,12 +45,12 @@ def shard_rows(rows: DataFrame, key_columns: list[str], shards: int, seed: int =
     Rows are numbered by cell (a hash of the key columns) and by the key columns within a cell, so the numbers depend on
     the rows alone, not on files or partitions. With p = permutation(number), shard is p mod shards and slot p div shards, so
     slots are gapless from 0. Equal keys are interchangeable: rows repeated in all key columns share the places that they
-    take among them. Nulls are keys like any other; an empty table gives an empty result. Columns named `_cell` or `_start`
-    in the input are not touched: the work columns are renamed away from any that exist."""
-    if clash := {"row_number", "shard", "slot"} & set(rows.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
-    cell, start = _free("_cell", rows.columns), _free("_start", rows.columns)
-    dealt = stage_table(rows.withColumn(cell, F.pmod(F.xxhash64(*key_columns), F.lit(CELLS)).cast("int")), "numbered")
+    take among them. Nulls are keys like any other; an empty table gives an empty result. Columns named row_number, shard or slot are
+    replaced; any other column is left alone, as work columns take names that are free."""
+    keys = free(rows, *(f"key{k}_" for k in range(len(key_columns))))
+    rows = rows.withColumns(dict(zip(keys, map(F.col, key_columns), strict=True))).drop("row_number", "shard", "slot")
+    cell, start, place = free(rows, "cell_", "start_", "place_")
+    dealt = stage_table(rows.withColumn(cell, F.pmod(F.xxhash64(*keys), F.lit(CELLS)).cast("int")), "numbered")
     counts = gathered(dealt.groupBy(cell).count())  # CELLS rows at most
     sizes = np.zeros(CELLS, np.int64)
     sizes[counts[cell].astype(int)] = counts["count"]
@@ -61,24 +61,17 @@ def shard_rows(rows: DataFrame, key_columns: list[str], shards: int, seed: int =
     def permuted(number: pd.Series) -> pd.Series:
         return pd.Series(feistel(number.to_numpy(np.int64), total, seed))
 
-    order = Window.partitionBy(cell).orderBy(*key_columns)
+    order = Window.partitionBy(cell).orderBy(*keys)
     numbered = dealt.withColumn("row_number", F.row_number().over(order).cast("long") - 1).join(F.broadcast(table), cell)
-    place = _free("_place", rows.columns)
     return (
         numbered.withColumn("row_number", F.col("row_number") + F.col(start))
         .withColumn(place, permuted("row_number"))
         .withColumn("shard", (F.col(place) % shards).cast("int"))
         .withColumn("slot", F.expr(f"{place} div {shards}"))
-        .drop(cell, start, place)
+        .drop(cell, start, place, *keys)
     )
 
 
-def _free(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
-
-
 def shard_documents(documents: DataFrame, shards: int = 16, seed: int = 20240) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document, under the law `rows`.
 
