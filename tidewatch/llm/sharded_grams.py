@@ -22,10 +22,11 @@ SYMBOLS = 0x110000
 CACHE_ROWS = 1 << 21
 #: Bytes of text scored at once, and grams whose results a worker keeps; both bound its memory.
 SCORED_BYTES = 1 << 20
-KEPT_GRAMS = 1 << 19
+KEPT_GRAMS = 1 << 20
 #: Binary logarithm of the bits of the sieve that says of a gram that the model has no row of it (8 MiB, whatever the input). When
 #: it fills up, more grams are looked up by key, and nothing else changes.
 SIEVE_LOG = 26
+_FIRST_BITS = 20
 #: U+0000 is counted as this noncharacter, since numpy strings end at it.
 _NUL = 0x10FFFF
 _FACTORS = mix64(np.arange(1, ORDER + 1)) | np.uint64(1)
@@ -131,9 +132,9 @@ def _string_keys(grams: np.ndarray) -> np.ndarray:
 
 
 def _cache(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """CACHE_ROWS rows of the table or a few less: those of the greatest counts, and of the last class of counts (by powers of two)
+    """CACHE_ROWS rows of the table or a few less: those that occur most often (f), and of the last class of frequencies (by powers of two)
     a share by hash. Keys are made in tasks."""
-    level = F.floor(F.log2(F.col("n") + 1))
+    level = F.floor(F.log2(F.col("f") + 1))
     sizes = {r["level"]: r["k"] for r in table.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()}
     least, room = max(sizes, default=0) + 1, CACHE_ROWS
     while least > 0 and sizes.get(least - 1, 0) <= room:
@@ -179,9 +180,9 @@ def fit_grams(counts: DataFrame, discounts) -> GramModel:
     its suffix with the weight of the context, backoff is the log weight of a gram as a context. So the log probability of a
     symbol is base, plus delta of the grams of all orders that end there, plus backoff of their contexts, where grams never seen
     add nothing. counts (gram, n) is read several times: a staged table. Tables that only lead to the model are deleted."""
-    tables = {ORDER: counts.select("gram", "n")}
+    tables = {ORDER: counts.select("gram", "n", F.col("n").alias("f"))}
     for order in range(ORDER - 1, 0, -1):
-        tables[order] = stage_table(tables[order + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), f"order-{order}")
+        tables[order] = stage_table(tables[order + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"), F.sum("f").alias("f")), f"order-{order}")
     few = None
     for order, table in tables.items():
         some = table.filter("n <= 4").groupBy(F.lit(order).alias("order"), "n").agg(F.count("*").alias("k"))
@@ -195,11 +196,11 @@ def fit_grams(counts: DataFrame, discounts) -> GramModel:
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         table = tables[order].withColumns({"context": F.expr(f"left(gram, {order - 1})"), "suffix": F.expr("substring(gram, 2)"), "discount": discount})
         inside = Window.partitionBy("context")
-        table = table.withColumns({"total": F.sum("n").over(inside), "weight": F.sum("discount").over(inside), "first": F.row_number().over(inside.orderBy("gram")) == 1})
+        table = table.withColumns({"total": F.sum("n").over(inside), "weight": F.sum("discount").over(inside), "often": F.sum("f").over(inside), "first": F.row_number().over(inside.orderBy("gram")) == 1})
         table = table.withColumn("weight", F.col("weight") / F.col("total"))
         table = table.withColumn("lower", F.lit(1.0 / SYMBOLS)) if lower is None else table.join(lower, "suffix")
         p = (F.col("n") - F.col("discount")) / F.col("total") + F.col("weight") * F.col("lower")
-        staged[order] = stage_table(table.select("gram", "n", "first", "weight", p.alias("p"), F.log(p / (F.col("weight") * F.col("lower"))).alias("delta")), f"grams-{order}")
+        staged[order] = stage_table(table.select("gram", "f", "often", "first", "weight", p.alias("p"), F.log(p / (F.col("weight") * F.col("lower"))).alias("delta")), f"grams-{order}")
         lower = staged[order].select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
         if order < ORDER:
             drop_table(tables[order])
@@ -208,12 +209,12 @@ def fit_grams(counts: DataFrame, discounts) -> GramModel:
         base += float(np.log(first["weight"]))
     rows = None
     for order, table in staged.items():
-        own = table.select("gram", "delta", F.lit(0.0).alias("backoff"), "n")
+        own = table.select("gram", "delta", F.lit(0.0).alias("backoff"), "f")
         if order > 1:
-            contexts = table.filter("first").select(F.expr(f"left(gram, {order - 1})").alias("gram"), F.lit(0.0).alias("delta"), F.log("weight").alias("backoff"), F.lit(0).cast("long").alias("n"))
+            contexts = table.filter("first").select(F.expr(f"left(gram, {order - 1})").alias("gram"), F.lit(0.0).alias("delta"), F.log("weight").alias("backoff"), F.col("often").alias("f"))
             own = own.unionByName(contexts)
         rows = own if rows is None else rows.unionByName(own)
-    table = stage_table(rows.groupBy("gram").agg(F.sum("delta").alias("delta"), F.sum("backoff").alias("backoff"), F.sum("n").alias("n")), "model")
+    table = stage_table(rows.groupBy("gram").agg(F.sum("delta").alias("delta"), F.sum("backoff").alias("backoff"), F.max("f").alias("f")), "model")
     for order in staged:
         drop_table(staged[order])
     return GramModel(table.select("gram", "delta", "backoff"), base, _cache(table), _known(table))
@@ -227,23 +228,37 @@ class _Resolver:
 
     def __init__(self, cache: tuple[np.ndarray, np.ndarray, np.ndarray], known: np.ndarray, base: float) -> None:
         self.cache, self.known, self.base = cache, known, base
+        # keys are hashes: their first bits say where to look, a few places each
+        self.starts = np.searchsorted(cache[0], np.arange(1 << _FIRST_BITS, dtype=np.uint64) << np.uint64(64 - _FIRST_BITS)).astype(np.int32)
+        self.starts = np.r_[self.starts, np.int32(len(cache[0]))]
         self.keys, self.logp, self.open = np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int32)
 
     @staticmethod
     def part(windows: np.ndarray, k: int, ends: bool) -> np.ndarray:
         return windows[:, ORDER - k :] if ends else windows[:, ORDER - 1 - k : ORDER - 1]
 
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Where keys stand in the cache; -1 where they do not."""
+        out, first = np.full(len(keys), -1), (keys >> np.uint64(64 - _FIRST_BITS)).astype(np.int64)
+        end, at = self.starts[first + 1], self.starts[first]
+        alive = np.flatnonzero(at < end)
+        at = at[alive]
+        while len(alive):
+            same = self.cache[0][at] == keys[alive]
+            out[alive[same]] = at[same]
+            alive, at = alive[~same], at[~same] + 1
+            more = at < end[alive]
+            alive, at = alive[more], at[more]
+        return out
+
     def _look_up(self, windows: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
         """What the cache has for grams, else 0, and where it has nothing and the sieve does not rule out a row of the model."""
         keys = _keys(windows)
-        out, hit = np.zeros(len(keys)), np.zeros(len(keys), bool)
-        if len(self.cache[0]):
-            at = np.minimum(np.searchsorted(self.cache[0], keys), len(self.cache[0]) - 1)
-            hit = self.cache[0][at] == keys
-            out[hit] = self.cache[column][at[hit]]
+        out, maybe, at = np.zeros(len(keys)), np.zeros(len(keys), bool), self._places(keys)
+        hit = at >= 0
+        out[hit] = self.cache[column][at[hit]]
         miss = np.flatnonzero(~hit)
         one, two = _sieve_bits(keys[miss])
-        maybe = np.zeros(len(keys), bool)
         maybe[miss] = (self.known[one >> 6] >> (one & 63) & self.known[two >> 6] >> (two & 63) & 1).astype(bool)
         return out, maybe
 
