@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +109,18 @@ def gathered(df: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
+def release(*shared) -> None:
+    """Forgets the values of broadcasts in this worker (they are loaded again if asked for) and gives freed memory back to the system, so
+    that an idle worker holds little."""
+    for b in shared:
+        if hasattr(b, "_value"):
+            del b._value
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     column = pc.fill_null(column, "") if column.null_count else column

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, free, gathered, mix64, quoted, row_runs, spread, stage_table, utf8_buffers, without
+from .common import drop_table, free, gathered, mix64, quoted, release, row_runs, spread, stage_table, utf8_buffers, without
 
 #: Hash buckets; the model is a matrix of this many rows and a column per language.
 BUCKETS = 1 << 16
@@ -153,6 +153,7 @@ def count_grams(documents: DataFrame, text: str = "text", lang: str = "lang") ->
                     mine = of == code
                     sums.setdefault(str(langs[code]), np.zeros(BUCKETS + 1, np.int64))[:-1] += np.bincount(bucket[mine], n[mine], BUCKETS).astype(np.int64)
         yield from flush()
+        release()
 
     rows = spread(documents.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")))
     return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -214,6 +215,7 @@ def predict(documents: DataFrame, model: LanguageModel, keep: list[str]) -> Data
         for batch in batches:
             best, scores = score_texts(batch.column(batch.num_columns - 1), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], names.take(pa.array(np.where(best < 0, len(names) - 1, best))), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+        release()
 
     return spread(rows).mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, free, gathered, mix64, quoted, row_runs, spread, stage_table, utf8_buffers
+from .common import drop_table, free, gathered, mix64, quoted, release, row_runs, spread, stage_table, utf8_buffers
 
 #: Order of the model, in code points. Its tables have a row per gram seen and grow with the text.
 ORDER = 6
@@ -21,7 +21,7 @@ SYMBOLS = 0x110000
 #: It changes where a gram is looked up, never what is found; all other grams are joined by key.
 CACHE_ROWS = 1 << 21
 #: Bytes of text scored at once, and grams whose results a worker keeps; both bound its memory.
-SCORED_BYTES = 1 << 20
+SCORED_BYTES = 1 << 19
 KEPT_GRAMS = 1 << 20
 #: Binary logarithm of the bits of the sieve that says of a gram that the model has no row of it (8 MiB, whatever the input). When
 #: it fills up, more grams are looked up by key, and nothing else changes.
@@ -108,6 +108,7 @@ def count_grams(texts: DataFrame, part: Column | None = None) -> DataFrame:
                 n = np.bincount(which, minlength=len(at))
                 one = np.bincount(which, np.repeat(parts[low:high], np.diff(starts)), len(at)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([_strings(_windows(padded, at)), pa.array(n - one, pa.int64()), pa.array(one, pa.int64())], names=["gram", "n0", "n1"])
+        release()
 
     rows = texts.select("text", (F.lit(0) if part is None else part).cast("int").alias("part"))
     return spread(rows).mapInArrow(run, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -326,6 +327,8 @@ def score_grams(documents: DataFrame, model: GramModel, keep: list[str]) -> Data
                 values = [pa.array(size.astype(np.int64)), pa.array(nll), pa.array(number + np.arange(count)), rest]
                 yield pa.RecordBatch.from_arrays([*batch.slice(low, count).columns[:-1], *values], names=names)
                 number += count
+        del resolver
+        release(shared)
 
     scored = stage_table(spread(rows).mapInArrow(run, schema), "scored")
     shared.destroy()
