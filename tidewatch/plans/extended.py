@@ -228,12 +228,12 @@ def epoch_variants(t) -> DataFrame:
 
 
 @query("""SELECT event_type AS agent, count(*) AS calls, count(*) FILTER (value >= 0) AS successes, count(*) FILTER (value < 0) AS errors, CAST(sum(user_id) AS BIGINT) AS prompt_tokens, CAST(sum(event_id % 100) AS BIGINT) AS completion_tokens,
-        round(sum(CASE WHEN user_id % 2 = 0 THEN user_id * 0.00015 + (event_id % 100) * 0.0006 ELSE user_id * 0.005 + (event_id % 100) * 0.015 END / 1000), 6) AS cost FROM events GROUP BY ROLLUP (event_type)""")
+        round(sum(CASE WHEN user_id % 2 = 0 THEN user_id * 0.00015 + (event_id % 100) * 0.0006 ELSE user_id * 0.005 + (event_id % 100) * 0.015 END / 1000), 4) AS cost FROM events GROUP BY ROLLUP (event_type)""")
 def run_account(t) -> DataFrame:
     rows = t("events").withColumn("agent", F.col("event_type"))
     model = F.when(F.col("user_id") % 2 == 0, "GPT-4o-mini-2024").otherwise("gpt-4o")
     out = stores.run_totals(rows, "agent", model, F.col("user_id"), F.col("event_id") % 100, F.col("value") >= 0)
-    return out.withColumn("cost", F.round("cost", 6))
+    return out.withColumn("cost", F.round("cost", 4))
 
 
 @query("SELECT o_orderstatus, state, count(*) AS n, count(*) FILTER (changed) AS changed FROM (SELECT o_orderstatus, CASE WHEN o_totalprice > 200000 THEN 'reviewed' ELSE 'open' END AS state, o_totalprice > 200000 AS changed FROM orders) GROUP BY 1, 2")
