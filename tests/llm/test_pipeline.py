@@ -1,5 +1,6 @@
 import corpus_pipeline
-from tidewatch.llm import exact_dedup, language_id
+from pyspark.sql import functions as F
+from tidewatch.llm import exact_dedup, language_id, minhash_dedup
 
 from test_exact_dedup import brute as equal_texts  # noqa: I001
 from test_minhash import brute as near_texts
@@ -30,3 +31,23 @@ def test_stages_one_by_one(spark):
 def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 0
+
+
+def test_filter_stages_on_odd_rows(spark, documents):
+    """Null and repeated ids, repeated rows, empty and long texts, empty tables, and columns named like work columns."""
+    long = "one two three four five six seven " * 20_000
+    docs = documents({1: "a b c d e f g h", 2: "a b c d e f g  h", 3: None, 4: "", 5: long, 6: long + "eight", 7: "quite another text of its own kind"})
+    docs = docs.withColumns({c: F.lit("x") for c in ("id_", "h_", "h1_", "word_", "mask_", "bit_", "again", "kept")})
+    null = docs.filter("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long"))
+    again = docs.filter("doc_id = 1")
+    rows = docs.unionByName(null).unionByName(again).unionByName(again.withColumn("text", F.lit("a text under an id that is taken")))
+    left = exact_dedup.first_of_each(rows)
+    got = [(r["doc_id"], (r["text"] or "")[:20]) for r in left.collect()]
+    assert left.columns == rows.columns
+    assert sorted(got, key=str) == sorted([(2, "a b c d e f g  h"), (1, "a text under an id that is taken"[:20]), (3, ""), (5, long[:20]), (6, long[:20]), (None, "quite another text o")], key=str)
+    near = minhash_dedup.first_of_each(rows)
+    assert near.columns == rows.columns
+    ids = [r["doc_id"] for r in near.select("doc_id").collect()]
+    assert 2 not in ids and 6 not in ids and ids.count(None) == 1 and {1, 3, 4, 5, 7} <= set(ids)
+    for stage in (exact_dedup.first_of_each, minhash_dedup.first_of_each):
+        assert stage(rows.limit(0)).count() == 0
