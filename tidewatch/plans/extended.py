@@ -448,5 +448,5 @@ def search_merge(t) -> DataFrame:
     docs = t("documents")
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
     k = F.size(F.filter(words, lambda x: x == "clown"))
-    scored = docs.select("doc_id", (k / F.size(words)).alias("score")).filter("score > 0")
+    scored = docs.select("doc_id", F.when(k > 0, k / F.size(words)).alias("score")).filter("score > 0")  # a text without words has no share
     return search.merged(docs, "the clown at 227.5.221.1", scored, 20).select("doc_id", "stage", F.round("score", 6).alias("score"))
