@@ -1,5 +1,7 @@
 """Queries beside their DuckDB form on small tables of odd rows."""
 
+import datetime
+
 import duckdb
 
 from tidewatch.plans.registry import ORACLES, QUERIES
@@ -18,3 +20,10 @@ def test_search_merge_over_texts_without_words(spark, tmp_path):
     rows = [(1, "a clown"), (2, ""), (3, None), (4, "?! -"), (5, "at 227.5.221.1"), (6, "Clown clown at 227.5.221.1"), (7, "小丑")]
     got, want = both(spark, tmp_path, "search_merge", "documents", rows, "doc_id long, text string")
     assert got == want == [(1, 1, 0.5), (5, 0, 1.5), (6, 0, 1.5)]
+
+
+def test_cve_extract_loose_counts_every_mention(spark, tmp_path):
+    day = datetime.date(1998, 5, 6)
+    rows = [(day, 10661, 661), (day, 10661, 7), (day, 155, 661), (day, 1066112, 90000)]
+    got, want = both(spark, tmp_path, "cve_extract_loose", "lineitem", rows, "l_shipdate date, l_partkey long, l_suppkey long")
+    assert got == want and ("CVE-1998-10661", 5) in got

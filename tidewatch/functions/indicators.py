@@ -60,10 +60,15 @@ def query_indicators(text: Column) -> Column:
     )
 
 
-def loose_cves(text: Column) -> Column:
-    """CVE ids whose prefix may be missing, in canonical form; not within longer identifiers."""
+def loose_cve_mentions(text: Column) -> Column:
+    """CVE ids whose prefix may be missing, in canonical form; not within longer identifiers. One for each mention, in order."""
     years, numbers = matches(text, P.CVE_LOOSE, 1), matches(text, P.CVE_LOOSE, 2)
-    return F.array_distinct(F.zip_with(years, numbers, lambda y, n: F.concat(F.lit("CVE-"), y, F.lit("-"), n)))
+    return F.zip_with(years, numbers, lambda y, n: F.concat(F.lit("CVE-"), y, F.lit("-"), n))
+
+
+def loose_cves(text: Column) -> Column:
+    """The ids of loose_cve_mentions, each once."""
+    return F.array_distinct(loose_cve_mentions(text))
 
 
 def normalise_hash(value: Column) -> Column:

@@ -158,7 +158,7 @@ def cve_extract_strict(t) -> DataFrame:
 @query(f"""SELECT cve, count(*) AS n FROM (SELECT unnest([concat('CVE-', y, '-', lpad(CAST(p AS VARCHAR), 5, '0')), concat('CVE-', y, '-', 10000 + s)]) AS cve
         FROM (SELECT year(l_shipdate) AS y, l_partkey AS p, l_suppkey AS s FROM lineitem)) GROUP BY cve""")
 def cve_extract_loose(t) -> DataFrame:
-    return t("lineitem").select(F.explode(indicators.loose_cves(F.expr(LOOSE))).alias("cve")).groupBy("cve").agg(F.count("*").alias("n"))
+    return t("lineitem").select(F.explode(indicators.loose_cve_mentions(F.expr(LOOSE))).alias("cve")).groupBy("cve").agg(F.count("*").alias("n"))
 
 
 _CVES = f"SELECT DISTINCT regexp_extract(text, {_q(P.CVE)}) AS cve, l_suppkey FROM {_ADV}"
