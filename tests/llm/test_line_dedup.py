@@ -1,8 +1,9 @@
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
-from tidewatch.llm import line_dedup
+from tidewatch.llm import line_dedup, queries
 
 
 def distance_within_one(a, b):
@@ -60,3 +61,16 @@ def test_work_columns_may_clash(spark, documents):
     docs = documents({1: "one line here\nanother", 2: "one line herd", 3: None}).withColumns({c: F.lit("x") for c in ("_doc", "_dropped", "doc_", "dropped_", "line", "h1", "first", "place")})
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
     assert (got[1]["text"], got[2]["text"], got[3]["text"]) == ("one line here\nanother", "", None) and got[2]["_doc"] == "x" and got[2]["dropped_"] == "x"
+
+
+def test_query_counts_edits_in_bytes_as_its_sql(spark, tmp_path):
+    """A pair of a key that is near in characters only must not hide a later pair that is near in bytes."""
+    lines = ["Ére.", "Are.", "Ere.", "été", "étè", "ete", "ét", "x€", "x¢", "x₭", "x", "小猫 runs", "小狗 runs", "小猫 run", "a😀b", "a😁b", "ab", "ñ", "n", "Ñ", "ñ ", "é" * 300, "é" * 299 + "e", "é" * 299 + "è", "é" * 299]
+    rows = [(i, line) for i, line in enumerate(lines)] + [(90, None), (91, ""), (92, "\n".join(reversed(lines)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    other = con.sql(queries.ORACLES["op9_line_dedup"])
+    assert sorted(map(tuple, queries.op9_line_dedup(spark, str(tmp_path)).select(*other.columns).collect())) == sorted(other.fetchall())
+    dropped = {r["doc_id"] for r in line_dedup.duplicate_lines(spark.createDataFrame(rows[:3], "doc_id long, text string"), "byte").collect()}
+    assert dropped == {2} and {r["doc_id"] for r in line_dedup.duplicate_lines(spark.createDataFrame(rows[:3], "doc_id long, text string")).collect()} == {1, 2}

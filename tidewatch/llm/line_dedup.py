@@ -31,11 +31,17 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return keyed.join(several, "key", "left_semi")
 
 
-def duplicate_lines(documents: DataFrame) -> DataFrame:
+def _as_bytes(line: str) -> str:
+    """A line with a character for each byte of its UTF-8 form; lines of one-byte characters are left as they are."""
+    return f"if(octet_length({line}) = char_length({line}), {line}, decode(encode({line}, 'UTF-8'), 'ISO-8859-1'))"
+
+
+def duplicate_lines(documents: DataFrame, unit: str = "character") -> DataFrame:
     """doc_id, line_no of every line that an earlier line (by doc_id, then line_no) equals or is one edit away from.
 
-    The bound is one insertion, deletion or substitution of a character, whatever the length of the line. Blank lines are never
-    duplicates. A null or empty text has none, nor has an empty table; other columns than doc_id and text are ignored.
+    The bound is one insertion, deletion or substitution of a unit, whatever the length of the line: a character, or a `byte` of
+    UTF-8 (what DuckDB's levenshtein counts: é and É differ in one byte, é and e in two). Blank lines are never duplicates. A
+    null or empty text has none, nor has an empty table; other columns than doc_id and text are ignored.
 
     Equal lines are first reduced to their earliest place, with partial results in each task. Lines within one edit are equal
     but for one of 2, and one of SEGMENTS, segments: only lines that share such a masked key go on, and only positions in that
@@ -44,9 +50,12 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
     members of a key are all within the bound of each other, or of its one whole line; so the key's earliest member is
     partner enough for each, no pairs within a key are formed, and no line with an earlier partner is missed. The edit
     distance of the texts is verified last."""
+    if unit not in ("character", "byte"):
+        raise ValueError(f"unit is character or byte, not {unit}")
     lines = (
         documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
         .filter("trim(line) <> ''")
+        .withColumn("line", F.expr("line" if unit == "character" else _as_bytes("line")))
         .withColumns({"h1": F.expr("xxhash64(line)"), "h2": F.expr("xxhash64(7, line)"), "n": F.length("line")})
     )
     halves = F.expr(f"array({', '.join(_masked(c, q, 2) for c in ('n', '(n - 1)') for q in '01')})")
@@ -81,12 +90,12 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
     return marked.filter("near or place <> first").select("place.doc_id", "place.line_no")
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
+def dedup_lines(documents: DataFrame, unit: str = "character") -> DataFrame:
     """The documents, all columns kept, without the lines that duplicate_lines names; and n_lines and n_dropped (these replace
     columns of the same name). Null texts stay null with one empty line. Rows that repeat a doc_id lose the same line numbers, and
     so do rows without doc_id. An empty table gives an empty result."""
     doc, numbers = free(documents, "doc_", "dropped_")
-    dropped = duplicate_lines(documents).groupBy("doc_id").agg(F.collect_set("line_no").alias(numbers)).withColumnRenamed("doc_id", doc)
+    dropped = duplicate_lines(documents, unit).groupBy("doc_id").agg(F.collect_set("line_no").alias(numbers)).withColumnRenamed("doc_id", doc)
     joined = documents.drop("n_lines", "n_dropped").join(dropped, F.col("doc_id").eqNullSafe(F.col(doc)), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
