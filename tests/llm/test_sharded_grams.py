@@ -1,4 +1,6 @@
 import math
+import pickle
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -90,3 +92,21 @@ def test_every_language_has_its_own_limit(spark, documents):
     assert set(limits) == held and len(held) > 1000 and len(set(limits.values())) > 100
     got = kn.classify(docs.limit(200), model, ["doc_id", "lang"]).collect()
     assert all(r["limit"] == limits.get(r["lang"], model.default) for r in got) and len(got) == 200
+
+
+def test_memory_of_a_worker():
+    """What a worker needs to load a full cache and sieve and to resolve one run of text."""
+    rng = np.random.default_rng(1)
+    keys = np.sort(rng.integers(0, 1 << 63, sg.CACHE_ROWS, dtype=np.uint64) << np.uint64(1))
+    sent = pickle.dumps(((keys, np.zeros(len(keys)), np.zeros(len(keys))), np.full(1 << sg.SIEVE_LOG - 6, -1, np.int64)))
+    data = rng.integers(97, 123, sg.SCORED_BYTES, dtype=np.uint8)
+    tracemalloc.start()
+    try:
+        resolver = sg._Resolver(*pickle.loads(sent), -14.0)
+        padded, starts = sg.code_points(data, np.array([0, len(data)]))
+        found, ends, _ = sg._distinct(padded, sg._ends(starts))
+        resolver.resolve(found, padded, ends)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100 << 20

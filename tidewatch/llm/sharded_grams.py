@@ -19,9 +19,9 @@ ORDER = 6
 SYMBOLS = 0x110000
 #: Rows of the tables that each worker also holds: the most frequent ones, whose many occurrences need no shuffle then.
 #: It changes where a gram is looked up, never what is found; all other grams are joined by key.
-CACHE_ROWS = 1 << 21
+CACHE_ROWS = 1 << 20
 #: Bytes of text scored at once, and grams whose results a worker keeps; both bound its memory.
-SCORED_BYTES = 1 << 19
+SCORED_BYTES = 1 << 18
 KEPT_GRAMS = 1 << 20
 #: Binary logarithm of the bits of the sieve that says of a gram that the model has no row of it (8 MiB, whatever the input). When
 #: it fills up, more grams are looked up by key, and nothing else changes.
