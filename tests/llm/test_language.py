@@ -83,3 +83,22 @@ def test_recognised_keeps_all_columns(spark, documents):
     left = li.recognised(docs, li.fit(docs), 0.5)
     assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "2", "None", "None"]
     assert li.recognised(docs.limit(0), li.fit(docs), 0.5).count() == 0
+
+
+def test_memory_of_short_texts():
+    """A megabyte of short texts, and one such text, are hashed a part at a time and counted as if they were not."""
+    import tracemalloc
+
+    li.is_letter(np.zeros(1, np.uint32))
+    for texts in (["the dog and the cat, été "] * 40_000, ["the dog and the cat, été " * 40_000]):
+        column = pa.array(texts)
+        tracemalloc.start()
+        try:
+            counts = np.zeros(li.BUCKETS, np.int64)
+            for _, _, _, bucket, n in li.sparse_counts(column):
+                counts += np.bincount(bucket, n, li.BUCKETS).astype(np.int64)
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert peak < 40 << 20
+        assert (counts == np.bincount(li.gram_buckets(texts)[0], minlength=li.BUCKETS)).all()

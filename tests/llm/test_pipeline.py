@@ -1,6 +1,7 @@
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
-from tidewatch.llm import exact_dedup, language_id, minhash_dedup
+from tidewatch.llm import common, exact_dedup, language_id, minhash_dedup
 
 from test_exact_dedup import brute as equal_texts  # noqa: I001
 from test_minhash import brute as near_texts
@@ -51,3 +52,17 @@ def test_filter_stages_on_odd_rows(spark, documents):
     assert 2 not in ids and 6 not in ids and ids.count(None) == 1 and {1, 3, 4, 5, 7} <= set(ids)
     for stage in (exact_dedup.first_of_each, minhash_dedup.first_of_each):
         assert stage(rows.limit(0)).count() == 0
+
+
+def test_workers_of_a_staged_write_get_small_batches(spark):
+    """Batches end soon after BATCH_BYTES, no row is lost, and the setting is as before afterwards."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    before = spark.conf.get(common.BATCH)
+    rows = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("0123456789"), 300).alias("text"))
+    got = common.stage_table(rows.mapInArrow(sizes, "n long, bytes long"), "sizes").collect()
+    assert sum(r["n"] for r in got) == 6000 and max(r["bytes"] for r in got) < common.BATCH_BYTES + (1 << 20)
+    assert spark.conf.get(common.BATCH) == before

@@ -4,6 +4,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewatch.llm import kneser_ney as kn
@@ -110,3 +111,22 @@ def test_memory_of_a_worker():
     finally:
         tracemalloc.stop()
     assert peak < 100 << 20
+
+
+def test_counts_of_small_runs_are_added_up(monkeypatch):
+    """Counting a run needs little memory, and gives each gram once whatever part of the text it stands in."""
+    rng = np.random.default_rng(2)
+    column = pa.array(["".join(map(chr, rng.integers(97, 103, 1000))) for _ in range(2000)] + ["é€\0x", "", None])
+    data, bounds = sg.utf8_buffers(column)
+    parts = (np.arange(len(column)) % 2).astype(np.int32)
+    tracemalloc.start()
+    try:
+        found, zero, one = sg.counted(data, bounds, parts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 110 << 20 and len(set(found.to_pylist())) == len(found) and zero.sum() + one.sum() == 2_000_004
+    monkeypatch.setattr(sg, "SCORED_BYTES", 1 << 30)
+    whole = sg.counted(data, bounds, parts)
+    assert [x.tolist() for x in (found, zero, one)] == [x.tolist() for x in whole]
+    assert [len(x) for x in sg.counted(*sg.utf8_buffers(pa.array(["", None])), parts[:2])] == [0, 0, 0]

@@ -24,6 +24,9 @@ SIEVE_BITS = 1 << 23
 RUN_BYTES = 1 << 21
 #: Spark's setting that deletes a query's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting for the bytes after which no further row joins an Arrow batch, and its value while stage_table writes: the JVM
+#: and its Python worker each hold a batch, and Spark's own 64 MiB would be most of a worker's memory.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,22 +42,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Queries that are made and run inside leave no shuffle files."""
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        spark.conf.set(name, before)
+
+
+def tidy(spark: SparkSession):
+    """Queries that are made and run inside leave no shuffle files."""
+    return _setting(spark, CLEANUP, "true")
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there and lost executors lose nothing. Shuffle files
-    of the write go when the table is there."""
+    of the write go when the table is there. Python workers get BATCH_BYTES at once."""
     spark = ship(df.sparkSession)
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}-{label}"
-    with tidy(spark):
+    with tidy(spark), _setting(spark, BATCH, str(BATCH_BYTES)):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -18,8 +18,10 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Languages of one block of the matrix (16 MiB); the driver gathers the counts of one block at a time.
 LANGUAGE_BLOCK = 64
-#: Bytes of a text that are handled at once; a longer one is cut into runs whose counts are added.
+#: Bytes of a text that are lower-cased at once; a longer one is cut into runs whose counts are added.
 LONG = 1 << 20
+#: Bytes of short texts, and code points of a long one, whose n-grams are held at once.
+HASHED = 1 << 17
 #: Prediction of a text without letters.
 UNDETERMINED = "und"
 _SALTS = mix64(np.arange(101, 101 + max(ORDERS), dtype=np.uint64))
@@ -78,8 +80,8 @@ def _hashed(codes: np.ndarray) -> np.ndarray:
 
 
 def long_buckets(data: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
-    """Buckets of the n-grams of one text in UTF-8, run by run, and whether the run has a letter. Together the runs have the
-    n-grams of the whole text: what the next one needs of a run is carried over."""
+    """Buckets of the n-grams of one text in UTF-8, HASHED code points at a time, and whether their run has a letter. Together
+    they are the n-grams of the whole text: what the next ones need is carried over."""
     held, after, low = np.array([32], np.uint64), False, 0
     while low < len(data):
         high = min(len(data), low + LONG)
@@ -91,25 +93,28 @@ def long_buckets(data: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
         keep[1:] |= letter[:-1]
         keep[:1] |= after
         after, low = bool(letter[-1]), high
-        held = np.r_[held, np.where(letter, codes, 32)[keep].astype(np.uint64)]
-        if len(held) >= max(ORDERS):
-            yield _hashed(held), bool(letter.any())
-            held = held[len(held) - max(ORDERS) + 1 :]
+        lettered, codes = bool(letter.any()), np.where(letter, codes, 32)[keep]
+        for cut in range(0, len(codes), HASHED):
+            held = np.r_[held, codes[cut : cut + HASHED].astype(np.uint64)]
+            if len(held) >= max(ORDERS):
+                yield _hashed(held), lettered
+                held = held[len(held) - max(ORDERS) + 1 :]
     yield _hashed(np.r_[held, np.full(max(ORDERS) - 1, 32, np.uint64)]), False
 
 
 def sparse_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of rows of a text column: the first row's number, whether each row has a letter, and the bucket counts of the
-    rows as row, bucket and n of a sparse matrix in order of rows. A text of more than LONG bytes comes in several runs."""
+    rows as row, bucket and n of a sparse matrix in order of rows. A text of more than HASHED bytes comes in several runs."""
     data, bounds = utf8_buffers(column)
+    most = min(LONG, HASHED)
 
     def counted(owner: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pairs = np.sort(owner * BUCKETS + grams)
         first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
         return pairs[first] // BUCKETS, pairs[first] % BUCKETS, np.diff(np.r_[first, len(pairs)])
 
-    for low, high in row_runs(bounds, LONG):
-        if bounds[high] - bounds[low] > LONG:
+    for low, high in row_runs(bounds, most):
+        if bounds[high] - bounds[low] > most:
             for grams, lettered in long_buckets(data[bounds[low] : bounds[high]]):
                 yield low, np.array([lettered]), *counted(np.zeros(len(grams), np.int64), grams)
         else:

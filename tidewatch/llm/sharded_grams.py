@@ -20,7 +20,7 @@ SYMBOLS = 0x110000
 #: Rows of the tables that each worker also holds: the most frequent ones, whose many occurrences need no shuffle then.
 #: It changes where a gram is looked up, never what is found; all other grams are joined by key.
 CACHE_ROWS = 1 << 20
-#: Bytes of text scored at once, and grams whose results a worker keeps; both bound its memory.
+#: Bytes of text scored or counted at once, and grams whose results a worker keeps; both bound its memory.
 SCORED_BYTES = 1 << 18
 KEPT_GRAMS = 1 << 20
 #: Binary logarithm of the bits of the sieve that says of a gram that the model has no row of it (8 MiB, whatever the input). When
@@ -94,6 +94,26 @@ def _strings(windows: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(windows).view(f"<U{windows.shape[1]}").ravel(), pa.string())
 
 
+def counted(data: np.ndarray, bounds: np.ndarray, parts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct grams of the rows and their counts in rows whose part is 0 and 1. SCORED_BYTES of text are counted at once (a
+    longer row at once too), and the counts added up by key."""
+    found = []
+    for low, high in row_runs(bounds, SCORED_BYTES):
+        padded, starts = code_points(data, bounds[low : high + 1])
+        keys, at, which = _distinct(padded, _ends(starts))
+        n = np.bincount(which, minlength=len(at))
+        one = np.bincount(which, np.repeat(parts[low:high], np.diff(starts)), len(at)).astype(np.int64)
+        found.append((keys, _windows(padded, at), n - one, one))
+    keys, windows, zero, one = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(found) == 1 or not len(keys):
+        return _strings(windows), zero, one
+    found.clear()
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return _strings(windows[order[first]]), np.add.reduceat(zero[order], first), np.add.reduceat(one[order], first)
+
+
 def count_grams(texts: DataFrame, part: Column | None = None) -> DataFrame:
     """gram, n0, n1 of the ORDER-grams of all rows (column text): counts in rows whose part is 0 (default: all) and 1. They are added
     up in each task first."""
@@ -103,11 +123,8 @@ def count_grams(texts: DataFrame, part: Column | None = None) -> DataFrame:
             data, bounds = utf8_buffers(batch.column(0))
             parts = batch.column(1).to_numpy()
             for low, high in row_runs(bounds):
-                padded, starts = code_points(data, bounds[low : high + 1])
-                _, at, which = _distinct(padded, _ends(starts))
-                n = np.bincount(which, minlength=len(at))
-                one = np.bincount(which, np.repeat(parts[low:high], np.diff(starts)), len(at)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([_strings(_windows(padded, at)), pa.array(n - one, pa.int64()), pa.array(one, pa.int64())], names=["gram", "n0", "n1"])
+                grams, zero, one = counted(data, bounds[low : high + 1], parts[low:high])
+                yield pa.RecordBatch.from_arrays([grams, pa.array(zero, pa.int64()), pa.array(one, pa.int64())], names=["gram", "n0", "n1"])
         release()
 
     rows = texts.select("text", (F.lit(0) if part is None else part).cast("int").alias("part"))
